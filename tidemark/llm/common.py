@@ -7,6 +7,7 @@ the cluster names in ``spark.checkpoint.dir``, so a lost executor costs a re-rea
 from __future__ import annotations
 
 import atexit
+import gc
 import pickle
 import tempfile
 import uuid
@@ -62,6 +63,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are no longer referred to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class WordHash(dict):
     """word -> 8 bytes of a 64-bit hash, remembered for up to ``CACHE_WORDS`` words."""
 
