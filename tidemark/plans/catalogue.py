@@ -476,7 +476,8 @@ _feature("leak_minmax", features.leak_minmax)
 _feature("leak_full_beta", lambda df: features.leak_full_beta(_pair(df)))
 _feature("leak_future_max", features.leak_future_max)
 _feature("leak_bfill", lambda df: features.leak_backfill(df, F.dayofmonth("date") % 5 == 0))
-_feature("weekly_mean", features.weekly)
+# whole hundredths, so that a week's sum does not depend on its order
+_feature("weekly_mean", lambda df: features.weekly(df.withColumn("x", F.floor(F.col("x") * 100 + 0.5).cast("double"))))
 
 
 @query

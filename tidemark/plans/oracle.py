@@ -186,7 +186,7 @@ STATEMENTS = {
     "leak_full_beta": "SELECT symbol, date, round(y - covar_samp(y, x) OVER w / var_pop(x) OVER w * x, 6) AS spread FROM pair WINDOW w AS (PARTITION BY symbol)",
     "leak_future_max": f"SELECT symbol, date, round(x / max(x) OVER w, 6) AS value FROM x WINDOW w AS ({_W} CURRENT ROW AND UNBOUNDED FOLLOWING)",
     "leak_bfill": f"SELECT symbol, date, round(first_value(k IGNORE NULLS) OVER w, 6) AS value FROM (SELECT symbol, date, CASE WHEN day(date) % 5 <> 0 THEN x END AS k FROM x) WINDOW w AS ({_W} CURRENT ROW AND UNBOUNDED FOLLOWING)",
-    "weekly_mean": "SELECT symbol, CAST(date_trunc('week', date) AS DATE) + 6 AS date, round(avg(x), 6) AS value FROM x GROUP BY 1, 2",
+    "weekly_mean": "SELECT symbol, CAST(date_trunc('week', date) AS DATE) + 6 AS date, round(avg(floor(x * 100e0 + 0.5e0)), 6) AS value FROM x GROUP BY 1, 2",
     "manifest_latest": "SELECT * FROM lrec",
     "manifest_completed": "SELECT symbol, CASE WHEN status = 'ok' AND rows > 0 THEN 'completed' WHEN status = 'failed' THEN 'failed' ELSE 'empty' END AS outcome FROM lrec",
     "manifest_pending": """SELECT c_custkey AS symbol FROM customer WHERE c_custkey NOT IN (SELECT symbol FROM lrec WHERE status = 'ok' AND rows > 0 AND last_date IS NOT NULL

@@ -1 +1 @@
-
+"""Checks of bars as they arrive."""
