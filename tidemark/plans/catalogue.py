@@ -15,6 +15,7 @@ from tidemark.operators import causality, clean, features, manifest, panel_check
 from tidemark.operators import ticker_checks as tick
 from tidemark.plans import oracle
 from tidemark.sources import star
+from tidemark.sources.stage import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,6 +51,12 @@ def _days(spark: SparkSession, d: str) -> DataFrame:
     return cal.participation(_bars(spark, d), quorum=QUORUM, padding=PADDING)
 
 
+def _panel(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Bars and their calendar, staged: plans that use them several times read them, and small ones broadcast."""
+    b = materialize(_bars(spark, d), "bars")
+    return b, materialize(cal.participation(b, quorum=QUORUM, padding=PADDING), "days")
+
+
 def _defective(spark: SparkSession, d: str) -> DataFrame:
     """Raw bars with defects planted by the day's number."""
     day = F.date_diff("date", F.lit("1995-01-01").cast("date"))
@@ -276,7 +283,8 @@ def tick_near_action(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _extreme(spark: SparkSession, d: str) -> DataFrame:
-    return tick.extreme_moves(_raw(spark, d), cal.market_stress(_bars(spark, d), STRESS_MOVE), move=MOVE, severe=SEVERE, window=ACTION_WINDOW, wide=WIDE)
+    raw = materialize(_raw(spark, d), "raw")
+    return tick.extreme_moves(raw, cal.market_stress(clean.adjust(raw), STRESS_MOVE), move=MOVE, severe=SEVERE, window=ACTION_WINDOW, wide=WIDE)
 
 
 @query
@@ -289,7 +297,7 @@ def tick_extreme_moves(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def panel_padded(spark: SparkSession, d: str) -> DataFrame:
-    return _issues(panel_checks.padded(_bars(spark, d), _days(spark, d)))
+    return _issues(panel_checks.padded(*_panel(spark, d)))
 
 
 @query
@@ -298,7 +306,8 @@ def panel_phantom(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
-    return panel_checks.per_ticker(_bars(spark, d).filter("symbol <> 'NATION_11'"), _days(spark, d), star.sectors(spark, d), GAP)
+    b, days = _panel(spark, d)
+    return panel_checks.per_ticker(b.filter("symbol <> 'NATION_11'"), days, star.sectors(spark, d), GAP)
 
 
 @query
@@ -308,7 +317,7 @@ def per_ticker_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def panel_gaps(spark: SparkSession, d: str) -> DataFrame:
-    return _issues(panel_checks.gaps(_bars(spark, d), _days(spark, d), GAP))
+    return _issues(panel_checks.gaps(*_panel(spark, d), GAP))
 
 
 @query
@@ -331,8 +340,9 @@ def consistency(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _all_issues(spark: SparkSession, d: str) -> DataFrame:
-    defective = _defective(spark, d)
-    parts = [tick.missing(defective), tick.invalid_prices(defective), tick.zero_volume(defective, 0.22), tick.zero_runs(_raw(spark, d), 3), panel_checks.phantom(_days(spark, d), PHANTOM), panel_checks.gaps(_bars(spark, d), _days(spark, d), GAP)]
+    defective = materialize(_defective(spark, d), "defective")
+    b, days = _panel(spark, d)
+    parts = [tick.missing(defective), tick.invalid_prices(defective), tick.zero_volume(defective, 0.22), tick.zero_runs(_raw(spark, d), 3), panel_checks.phantom(days, PHANTOM), panel_checks.gaps(b, days, GAP)]
     return tick.union(parts)
 
 
@@ -359,23 +369,25 @@ def worst_tradeable(spark: SparkSession, d: str) -> DataFrame:
 # --- point-in-time universe ----------------------------------------------------------------------
 
 
-def _dates(spark: SparkSession, d: str) -> DataFrame:
-    return universe.decision_dates(cal.sessions(_days(spark, d)), FORMATION, TRADING, STEP)
+def _dates(days: DataFrame) -> DataFrame:
+    return universe.decision_dates(cal.sessions(days), FORMATION, TRADING, STEP)
 
 
 def _schedule(spark: SparkSession, d: str, top: int | None = None) -> DataFrame:
     criteria = CRITERIA if top is None else universe.Criteria(**{**CRITERIA.__dict__, "top": top})
-    return universe.eligibility_schedule(star.sectors(spark, d), _bars(spark, d), _days(spark, d), _dates(spark, d), criteria)
+    b, days = _panel(spark, d)
+    return universe.eligibility_schedule(star.sectors(spark, d), b, days, _dates(days), criteria)
 
 
 @query
 def decision_dates(spark: SparkSession, d: str) -> DataFrame:
-    return _dates(spark, d)
+    return _dates(_panel(spark, d)[1])
 
 
 @query
 def liquidity_stats(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(universe.liquidity_stats(star.sectors(spark, d), _bars(spark, d), _days(spark, d), _dates(spark, d)))
+    b, days = _panel(spark, d)
+    return rounded(universe.liquidity_stats(star.sectors(spark, d), b, days, _dates(days)))
 
 
 @query
@@ -388,11 +400,12 @@ def eligibility_capped(spark: SparkSession, d: str) -> DataFrame:
     return _schedule(spark, d, 5).select("symbol", "as_of", "reasons", "eligible")
 
 
-def _selected(spark: SparkSession, d: str, **more) -> DataFrame:
+def _selected(spark: SparkSession, d: str, schedule: DataFrame | None = None, **more) -> DataFrame:
     sectors = star.sectors(spark, d).withColumn("sector", F.when(F.col("symbol") == "NATION_6", "").otherwise(F.col("sector")))
     complete = star.sectors(spark, d).filter("symbol <> 'NATION_12'").select("symbol")
     fatal = star.sectors(spark, d).filter("symbol in ('NATION_12', 'NATION_10')").select("symbol")
-    return universe.select(_schedule(spark, d), sectors, complete, fatal, **more)
+    schedule = materialize(_schedule(spark, d), "schedule") if schedule is None else schedule
+    return universe.select(schedule, sectors, complete, fatal, **more)
 
 
 @query
@@ -417,7 +430,8 @@ def ever_eligible(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def eligible_over_time(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(universe.eligible_over_time(_schedule(spark, d), _selected(spark, d).filter("member")))
+    schedule = materialize(_schedule(spark, d), "schedule")
+    return rounded(universe.eligible_over_time(schedule, _selected(spark, d, schedule).filter("member")))
 
 
 @query
@@ -437,7 +451,8 @@ def turnover_quantiles(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def top_bottom_liquidity(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(universe.most_and_least_liquid(universe.latest(_schedule(spark, d)).select("symbol", "median_turnover"), 10))
+    schedule = materialize(_schedule(spark, d), "schedule")
+    return rounded(universe.most_and_least_liquid(universe.latest(schedule).select("symbol", "median_turnover"), 10))
 
 
 @query
@@ -483,7 +498,7 @@ _feature("weekly_mean", lambda df: features.weekly(df.withColumn("x", F.floor(F.
 @query
 def causality_report(spark: SparkSession, d: str) -> DataFrame:
     """Each causal and leaky feature, recomputed on histories cut at three dates."""
-    x = _x(spark, d)
+    x = materialize(_x(spark, d), "x")
     parts = [causality.summary(f, x, CUTS).withColumn("feature", F.lit(n)) for n, f in {**features.CAUSAL, **features.LEAKY}.items()]
     return reduce(DataFrame.unionByName, parts).select("feature", "checkpoint", "n_compared", "n_bad", "passed")
 
