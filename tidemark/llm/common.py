@@ -1,16 +1,11 @@
 """Helpers shared by the training-data operators.
 
-Texts travel to Python through Arrow batches. Intermediate tables are Parquet in the folder that
-the cluster names in ``spark.checkpoint.dir``, so a lost executor costs a re-read, not a re-run.
+Texts travel to Python through Arrow batches; intermediate tables are staged in the shared folder.
 """
 
 from __future__ import annotations
 
-import atexit
-import gc
 import pickle
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -18,55 +13,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries of a worker's word cache; it is emptied when full, so memory stays bounded.
-CACHE_WORDS = 200_000
-
-_left: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path for a table of one run, removed when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}/{name}"
-    _left.append((spark, path.rpartition("/")[0]))
-    return path
-
+from tidemark.sources.stage import materialize, new_folder, release
 
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+__all__ = ["CACHE_WORDS", "STEP", "WordHash", "labelled_sample", "learn", "map_rows", "materialize", "new_folder", "read", "release", "remainder", "slices"]
 
-
-@atexit.register
-def _remove_all() -> None:
-    for spark, path in _left:
-        try:
-            remove(spark, path)
-        except Exception:  # the session has ended; the cluster's own clean-up remains
-            return
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that are no longer referred to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: Entries of a worker's word cache; it is emptied when full, so memory stays bounded.
+CACHE_WORDS = 200_000
 
 
 class WordHash(dict):

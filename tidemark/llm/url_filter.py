@@ -11,6 +11,7 @@ are judged each; an empty table gives an empty result; further columns stay unre
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -168,7 +169,6 @@ class Filter:
     def __init__(self, labelled: DataFrame, rows: int = TRAIN_ROWS) -> None:
         usable = labelled.filter(F.col("url").isNotNull() & F.col("label").isin(0, 1)).groupBy("url").agg(F.max("label").alias("label"))
         sample = lexical(usable.orderBy(F.xxhash64("url"), "url").limit(rows))
-        self.mean = F.lit(0.5)
         known = sample.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("k")).collect()  # at most `rows` suffixes
         total, ones = sum(r["n"] for r in known), sum(r["k"] for r in known)
         self.mean = ones / total if total else 0.5
@@ -181,8 +181,8 @@ class Filter:
         spark = parts.sparkSession
         if not self.rates:
             return parts.withColumn("suffix_rate", F.lit(self.mean))
-        names = sorted(self.rates)
-        table = spark.range(1).select(F.explode(F.arrays_zip(F.array(*map(F.lit, names)).alias("suffix"), F.array(*(F.lit(self.rates[n]) for n in names)).alias("rate"))).alias("x")).select("x.suffix", "x.rate")
+        rates = json.dumps([{"suffix": s, "rate": self.rates[s]} for s in sorted(self.rates)])
+        table = spark.range(1).select(F.inline(F.from_json(F.lit(rates), "array<struct<suffix: string, rate: double>>")))
         return parts.join(F.broadcast(table), "suffix", "left").withColumn("suffix_rate", F.coalesce("rate", F.lit(self.mean))).drop("rate")
 
     def score(self, urls: DataFrame) -> DataFrame:
