@@ -184,7 +184,7 @@ def write(pages: DataFrame, folder: str, *, least_bytes: int = 0, frame_bytes: i
         for at in range(0, len(bundles.index), 10_000):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*bundles.index[at : at + 10_000], strict=True), schema, strict=True)], schema=schema)
 
-    ordered = with_originals(pages, least_bytes).sortWithinPartitions("page_id", "refers_to", "url")
+    ordered = with_originals(pages, least_bytes).sortWithinPartitions("page_id", "refers_to", "url", "payload")
     ordered.mapInArrow(run, "page_id long, bundle string, frame long, offset long, length long").write.parquet(f"{folder}/index")
     return spark.read.parquet(f"{folder}/index")
 
