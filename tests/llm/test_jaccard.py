@@ -37,7 +37,7 @@ def by_hand(rows):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-def corpus(seed, groups=25, copies=8, hot=60):
+def corpus(seed, groups=20, copies=6, hot=40):
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(2000)]
     passage = rng.choices(vocabulary, k=30)

@@ -9,9 +9,10 @@ takes effect; documents of equal sets form one class first. The steps:
    bands within which sizes allow a link.
 2. Each member of a band is compared with the band's first. These comparisons connect groups of near
    copies without forming their pairs.
-3. Tiles that hold members of more than one component are searched in full: pairs of different
-   components in the same or neighbouring size bands pass if bit counts of their hashed bitmaps
-   leave enough overlap possible.
+3. Tiles that hold members of more than one component are searched: pairs of different components
+   in the same or neighbouring size bands pass if bit counts of their hashed bitmaps leave enough
+   overlap possible. Each member's closest pairs come first; rounds with ever more of them follow,
+   with the components as they are by then, until no member has a pair left.
 4. Every candidate is verified by intersecting the sorted arrays; components follow from the links.
 
 Links within a component that other links connect already are not listed. Frequent hashes are found
@@ -25,12 +26,13 @@ further columns, whatever their names, are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import WordHash, materialize, release, slices
@@ -38,11 +40,15 @@ from tidemark.llm.components import components
 
 WORDS = 5
 #: Documents sampled to find frequent shingles, how often these occur there, and how many are kept at most.
-SAMPLE, FREQUENT, MOST_FREQUENT = 8000, 12, 100_000
+SAMPLE, FREQUENT, MOST_FREQUENT = 8_000, 3, 200_000
 #: Parts that a tile of a frequent hash is dealt to.
 SALTS = 32
 #: 64-bit words of the filter that tells which documents need arrays again: 4 MB at any input size.
 FILTER_WORDS = 1 << 19
+#: Closest pairs that each member of a tile gives in the first round; 16 times as many in each further one.
+CLOSEST = 2
+#: Pairs that a task remembers not to give twice.
+GIVEN = 200_000
 #: Rows of a tile that are compared at once.
 BLOCK = 512
 
@@ -83,18 +89,24 @@ def prefix(sorted_hashes: np.ndarray, frequent: np.ndarray, num: int, den: int)
 
 
 def bitmap(sorted_hashes: np.ndarray) -> bytes:
-    """A bit for each hash, about twice as many bits as hashes."""
-    bits = 64 << max(0, int(len(sorted_hashes) - 1).bit_length() - 5)
-    out = np.zeros(bits, dtype=np.uint8)
-    out[(sorted_hashes & np.uint64(bits - 1)).astype(np.int64)] = 1
-    return np.packbits(out, bitorder="little").tobytes()
+    """The parity of the hashes that fall on each bit; at least four bits for five hashes."""
+    bits = 64
+    while 5 * bits < 4 * len(sorted_hashes):
+        bits *= 2
+    parity = np.bincount((sorted_hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketch(sorted_hashes: np.ndarray) -> bytes:
+    """The set size in eight bytes, then the bitmap."""
+    return len(sorted_hashes).to_bytes(8, "little") + bitmap(sorted_hashes)
 
 
 def folded(bits: np.ndarray, words: int) -> np.ndarray:
     """Bitmaps (rows of 64-bit words) brought to fewer words."""
     while bits.shape[-1] > words:
         half = bits.shape[-1] // 2
-        bits = bits[..., :half] | bits[..., half:]
+        bits = bits[..., :half] ^ bits[..., half:]
     return bits
 
 
@@ -120,19 +132,23 @@ def _frequent(docs: DataFrame, words: int) -> np.ndarray:
         for batch in batches:
             held.extend(shingles(t, hashes, words) for t in batch.column(0).to_pylist())
         if held:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            order = np.argsort(-counts, kind="stable")[:MOST_FREQUENT]
-            order = order[counts[order] >= FREQUENT]
-            yield pa.RecordBatch.from_pydict({"h": [np.sort(values[order]).astype("<u8").tobytes()]}, schema=pa.schema([("h", pa.binary())]))
+            every = np.concatenate(held)
+            held.clear()
+            every.sort()
+            starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+            counts = np.diff(np.append(starts, len(every)))
+            often = np.flatnonzero(counts >= FREQUENT)
+            often = often[np.argsort(-counts[often], kind="stable")[:MOST_FREQUENT]]
+            yield pa.RecordBatch.from_pydict({"h": [np.sort(every[starts[often]]).astype("<u8").tobytes()]}, schema=pa.schema([("h", pa.binary())]))
 
     rows = sample.select(F.col("text").cast("binary").alias("text")).repartition(1).mapInArrow(run, "h binary").collect()
     return np.frombuffer(rows[0][0], dtype="<u8") if rows else np.array([], dtype="<u8")
 
 
 def signatures(docs: DataFrame, num: int, den: int, words: int) -> DataFrame:
-    """doc_id, n (set size), key (128 bits of the set), prefix hashes and how many of them are not frequent."""
+    """doc_id, n (set size), key (128 bits of the set), prefix hashes, how many of them are not frequent, sketch."""
     sent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, words))
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("prefix", pa.list_(pa.int64())), ("light", pa.int32())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("prefix", pa.list_(pa.int64())), ("light", pa.int32()), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, frequent = WordHash(), sent.value
@@ -143,30 +159,30 @@ def signatures(docs: DataFrame, num: int, den: int, words: int) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum([len(c) for c, _ in chosen])]).astype(np.int32)
                 values = np.concatenate([c for c, _ in chosen]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array([k for _, k in chosen], pa.int32())], schema=schema
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array([k for _, k in chosen], pa.int32()), pa.array([sketch(s) for s in sets], pa.binary())], schema=schema
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, n long, key binary, prefix array<long>, light int")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, n long, key binary, prefix array<long>, light int, sketch binary")
 
 
 def tiles(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """(token, rep, n, leader) of tiles with two members or more, from rows (token, aux, rep).
+    """(token, rep, n, pos, leader) of tiles with two members or more, from rows (token, aux, rep, pos).
 
-    aux is salt * 2^32 + n, the salt 0 unless the token is frequent. A member's leader is the first
+    aux is salt * 2^32 + n, the salt 0 unless the token is frequent; pos is the token's place in the prefix. A member's leader is the first
     of its size band; a band's first has the first of the band before. Rows of frequent tokens stay
     even if alone in their part of the tile. Memory does not depend on a tile's size.
     """
-    schema = pa.schema([("token", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("leader", pa.int64())])
+    schema = pa.schema([(c, pa.int64()) for c in ("token", "rep", "n", "pos", "leader")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None  # (token, salt, leader, its n, whether it was given out)
+        last: tuple | None = None  # (token, salt, leader, its n, whether it was given out, its pos)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            token, aux, rep = (c.to_numpy() for c in batch.columns)
+            token, aux, rep, pos = (c.to_numpy() for c in batch.columns)
             salt, n = aux >> 32, aux & 0xFFFFFFFF
             if last and not last[4]:  # the row that waits for company comes first again
-                token, salt, n, rep = (np.concatenate([[x], y]) for x, y in zip((last[0], last[1], last[3], last[2]), (token, salt, n, rep), strict=True))
+                token, salt, n, rep, pos = (np.concatenate([[last[i]], y]) for i, y in zip((0, 1, 3, 2, 5), (token, salt, n, rep, pos), strict=True))
                 last = None
             new = np.concatenate([[True], (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])])
             if last and (token[0], salt[0]) == last[:2]:
@@ -193,27 +209,30 @@ def tiles(entries: DataFrame, num: int, den: int) -> DataFrame:
             give = ~alone | (salt > 0)
             if waits:
                 give[-1] = False
-                last = (token[-1], salt[-1], rep[-1], n[-1], False)
+                last = (token[-1], salt[-1], rep[-1], n[-1], False, pos[-1])
             else:
                 now = end if len(wide) and run_no[wide[-1]] == run_no[-1] else (leader[-1], leader_n[-1])
-                last = (token[-1], salt[-1], now[0], now[1], True)
+                last = (token[-1], salt[-1], now[0], now[1], True, 0)
             if give.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[give]) for x in (token, rep, n, leader)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(x[give]) for x in (token, rep, n, pos, leader)], schema=schema)
         if last and not last[4] and last[1] > 0:
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (last[0], last[2], last[3], last[2])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (last[0], last[2], last[3], last[5], last[2])], schema=schema)
 
     dealt = entries.repartition("token", F.shiftright("aux", 32)).sortWithinPartitions("token", "aux", "rep")
-    return dealt.mapInArrow(run, "token long, rep long, n long, leader long")
+    return dealt.mapInArrow(run, "token long, rep long, n long, pos long, leader long")
 
 
 def _arrays(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, n, hashes, bits) of the documents whose ids pass a filter of a fixed size, built from ``ids``."""
+    """(id, hashes) of the documents whose ids pass a filter of a fixed size, built from ``ids``.
+
+    Only documents of candidate pairs need their arrays; more pass as the filter fills, none is missed.
+    """
     spots = ids.select(F.explode(F.array(F.xxhash64("id"), F.xxhash64("id", F.lit(1)))).alias("x")).select(F.pmod("x", F.lit(FILTER_WORDS * 64)).alias("x"))
     words_set = spots.groupBy(F.shiftright("x", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("bits")).toArrow()
     held = np.zeros(FILTER_WORDS, dtype=np.int64)
     held[words_set["at"].to_numpy()] = words_set["bits"].to_numpy()
     sent = docs.sparkSession.sparkContext.broadcast(held.view(np.uint64))
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("hashes", pa.binary()), ("bits", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("hashes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held = WordHash(), sent.value
@@ -224,101 +243,147 @@ def _arrays(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                     x = part.column(c).to_numpy()
                     passes &= (held[x >> 6] >> (x & 63).astype(np.uint64)) & np.uint64(1) == 1
                 kept = part.filter(pa.array(passes))
-                sets = [shingles(t, hashes, words) for t in kept.column(3).to_pylist()]
-                yield pa.RecordBatch.from_arrays([kept.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bitmap(s) for s in sets], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([kept.column(0), pa.array([shingles(t, hashes, words).tobytes() for t in kept.column(3).to_pylist()], pa.binary())], schema=schema)
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text")).filter("id is not null")
     spot = lambda *c: F.pmod(F.xxhash64(*c), F.lit(FILTER_WORDS * 64))
-    return chosen.select("id", spot("id"), spot("id", F.lit(1)), "text").mapInArrow(run, "id long, n long, hashes binary, bits binary").join(ids, "id", "left_semi")
+    return chosen.select("id", spot("id"), spot("id", F.lit(1)), "text").mapInArrow(run, "id long, hashes binary")
+
 
+def _checked(pairs: DataFrame, sides: DataFrame, test: Callable[[bytes, bytes], bool]) -> DataFrame:
+    """The pairs (a, b) for which ``test`` holds on the values that ``sides`` (id, value) gives them.
 
-def _verified(pairs: DataFrame, arrays: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that reach the threshold."""
+    The values of b travel to those of a, as many pairs share their a.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                a, b, ha, hb, ba, bb = part.columns
-                links = []
-                for i in range(part.num_rows):
-                    x, y = (np.frombuffer(c[i].as_buffer(), dtype="<u8") for c in (ha, hb))
-                    u, v = (np.frombuffer(c[i].as_buffer(), dtype="<u8") for c in (ba, bb))
-                    least = min(len(u), len(v))
-                    apart = int(np.bitwise_count(folded(u, least) ^ folded(v, least)).sum())
-                    links.append(_possible(len(x), len(y), apart, num, den) and similar(x, y, num, den))
-                kept = pa.array(links, pa.bool_())
-                yield pa.RecordBatch.from_arrays([a.filter(kept), b.filter(kept)], schema=schema)
-
-    of = lambda side: arrays.select(F.col("id").alias(side), F.col("hashes").alias(f"h{side}"), F.col("bits").alias(f"s{side}"))
-    joined = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b")
-    return joined.select("a", "b", "ha", "hb", "sa", "sb").mapInArrow(run, "a long, b long")
+            a, b, x, y = batch.columns
+            kept = pa.array([test(x[i].as_buffer(), y[i].as_buffer()) for i in range(batch.num_rows)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([a.filter(kept), b.filter(kept)], schema=schema)
+
+    of = lambda side: sides.select(F.col("id").alias(side), F.col("value").alias(f"v{side}"))
+    return pairs.select("a", "b").join(of("b"), "b").join(of("a"), "a").select("a", "b", "va", "vb").mapInArrow(run, "a long, b long")
+
+
+def _verified(docs: DataFrame, sigs: DataFrame, pairs: DataFrame, num: int, den: int, words: int) -> DataFrame:
+    """The pairs (a, b) that reach the threshold: bit counts first, then the sorted arrays of those left."""
+
+    def may(x: pa.Buffer, y: pa.Buffer) -> bool:
+        (n, u), (m, v) = (((int.from_bytes(z[:8], "little"), np.frombuffer(z, dtype="<u8", offset=8))) for z in (x, y))
+        if den * min(n, m) < num * max(n, m):
+            return False
+        least = min(len(u), len(v))
+        return bool(_possible(n, m, int(np.bitwise_count(folded(u, least) ^ folded(v, least)).sum()), num, den))
+
+    sizes = sigs.select(F.col("doc_id").alias("id"), F.col("sketch").alias("value"))
+    left = materialize(_checked(pairs, sizes, may).distinct(), "possible")
+    ids = left.select(F.explode(F.array("a", "b")).alias("id"))
+    arrays = _arrays(docs, ids, words).withColumnRenamed("hashes", "value")
+    links = _checked(left, arrays, lambda x, y: similar(np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8"), num, den))
+    return materialize(links.distinct(), "links")
 
 
 def _possible(n: int | np.ndarray, m: int | np.ndarray, apart: int | np.ndarray, num: int, den: int) -> bool | np.ndarray:
     """Whether sets of n and m hashes can reach the threshold if their bitmaps differ in ``apart`` bits.
 
-    Each differing bit needs a hash of one set only, so the overlap is (n + m - apart) / 2 at most;
+    Each differing bit needs a hash that one set has alone, so the overlap is (n + m - apart) / 2 at most;
     den * overlap >= num * (n + m - overlap) then gives the test.
     """
     return (den + num) * (n + m - apart) >= 2 * num * (n + m)
 
 
-def _pairs_of_tiles(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of different components in a tile that sizes and bit counts allow.
+def _best(rows: np.ndarray, other: np.ndarray, close: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """The ``k`` closest partners of each row, and whether some row had more."""
+    order = np.lexsort((other, -close, rows))
+    rows, other, close = rows[order], other[order], close[order]
+    first = np.searchsorted(rows, rows)
+    kept = np.arange(len(rows)) - first < k
+    return rows[kept], other[kept], close[kept], not kept.all()
 
-    ``members`` has (token, id, n, root, bits). A tile's rows are dealt by size bands whose limits
-    grow by den / num; a row is at home in its own band and a guest in the next one.
-    """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def search(home: list[tuple], guests: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        width = min(len(r[4]) // 8 for r in home + guests)
+def _pairs_of_tiles(members: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of different components in a tile that sizes and bit counts allow.
 
-        def table(rows: list[tuple]) -> tuple:
-            bits = np.stack([folded(np.frombuffer(r[4], dtype="<u8"), width) for r in rows]) if rows else np.zeros((0, width), "<u8")
-            return *(np.array([r[k] for r in rows], dtype=np.int64) for k in (1, 2, 3)), bits
+    ``members`` has (token, id, n, root, pos, sketch). At the first hash that two prefixes share, what
+    follows it bounds the overlap; other tiles of a pair fail that bound sooner or later and need not
+    repeat it. A tile's rows are dealt by size bands whose limits
+    grow by den / num; a row is at home in its own band and a guest in the next one. Each row at home
+    gives its ``k`` closest pairs; a further row (null, null, token) tells that some had more.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("token", pa.int64())])
 
-        own, other = table(home), table(guests)
+    def search(home: list[tuple], guests: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        width = min(len(r[5]) // 8 - 1 for r in home + guests)
+        ids, sizes, roots, places = (np.array([r[c] for r in home + guests], dtype=np.int64) for c in (1, 2, 3, 4))
+        rest = sizes - places
+        bits = np.stack([folded(np.frombuffer(r[5], dtype="<u8", offset=8), width) for r in home + guests])
         for i in range(0, len(home), BLOCK):
-            x = [c[i : i + BLOCK] for c in own]
-            for rows, at in ((own, i), (other, 0)):
-                for j in range(at, len(rows[0]), BLOCK):
-                    y = [c[j : j + BLOCK] for c in rows]
-                    ok = x[2][:, None] != y[2][None, :]
-                    if rows is own and i == j:
-                        ok &= np.triu(ok, 1)
-                    n, m = x[1][:, None], y[1][None, :]
-                    ok &= den * np.minimum(n, m) >= num * np.maximum(n, m)
-                    p, q = np.nonzero(ok)
-                    for s in range(0, len(p), 1 << 16):
-                        ps, qs = p[s : s + (1 << 16)], q[s : s + (1 << 16)]
-                        apart = np.bitwise_count(x[3][ps] ^ y[3][qs]).sum(1, dtype=np.int64)
-                        good = _possible(x[1][ps], y[1][qs], apart, num, den)
-                        a, b = x[0][ps[good]], y[0][qs[good]]
-                        yield np.minimum(a, b), np.maximum(a, b)
+            mine = np.arange(i, min(i + BLOCK, len(home)))
+            held = (np.array([], np.int64), np.array([], np.int64), np.array([]))
+            more = False
+            for j in range(0, len(ids), BLOCK):
+                theirs = np.arange(j, min(j + BLOCK, len(ids)))
+                n, m = sizes[mine][:, None], sizes[theirs][None, :]
+                ok = (roots[mine][:, None] != roots[theirs][None, :]) & (den * np.minimum(n, m) >= num * np.maximum(n, m))
+                ok &= (den + num) * np.minimum(rest[mine][:, None], rest[theirs][None, :]) >= num * (n + m)
+                p, q = np.nonzero(ok)
+                for s in range(0, len(p), 1 << 16):
+                    x, y = mine[p[s : s + (1 << 16)]], theirs[q[s : s + (1 << 16)]]
+                    apart = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
+                    good = _possible(sizes[x], sizes[y], apart, num, den)
+                    both = (sizes[x] + sizes[y])[good]
+                    found = x[good], y[good], (both - apart[good]) / (both + apart[good])
+                    held = tuple(np.concatenate(c) for c in zip(held, found, strict=True))
+                    *held, now = _best(*held, k)
+                    more |= now
+            if len(held[0]):
+                a, b = ids[held[0]], ids[held[1]]
+                yield np.minimum(a, b), np.maximum(a, b), more
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, home, guests = None, [], []
+        given: set[tuple[int, int]] = set()  # of this task's tiles, which hold many pairs in common
 
         def found() -> Iterator[pa.RecordBatch]:
             if home and len({r[3] for r in home} | {r[3] for r in guests}) > 1:
-                for a, b in search(home, guests):
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+                cut = False
+                for a, b, more in search(home, guests):
+                    cut |= more
+                    new = [p for p in zip(a.tolist(), b.tolist(), strict=True) if p not in given]
+                    if len(given) > GIVEN:
+                        given.clear()
+                    given.update(new)
+                    if new:
+                        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*new, strict=True)), pa.nulls(len(new), pa.int64())], schema=schema)
+                if cut:
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (None, None, key[0])], schema=schema)
 
         for batch in batches:
-            for token, band, guest, i, n, root, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for token, band, guest, i, n, root, pos, sketched in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (token, band) != key:
                     yield from found()
                     key, home, guests = (token, band), [], []
-                (guests if guest else home).append((token, i, n, root, bits))
+                (guests if guest else home).append((token, i, n, root, pos, sketched))
         yield from found()
 
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9)
-    banded = members.select("token", F.explode(F.array(F.struct(band.alias("band"), F.lit(False).alias("guest")), F.struct((band + 1).alias("band"), F.lit(True).alias("guest")))).alias("x"), "id", "n", "root", "bits")
-    dealt = banded.select("token", "x.band", "x.guest", "id", "n", "root", "bits").repartition("token", "band").sortWithinPartitions("token", "band", "guest", "id")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    banded = members.select("token", F.explode(F.array(F.struct(band.alias("band"), F.lit(False).alias("guest")), F.struct((band + 1).alias("band"), F.lit(True).alias("guest")))).alias("x"), "id", "n", "root", "pos", "sketch")
+    dealt = banded.select("token", "x.band", "x.guest", "id", "n", "root", "pos", "sketch").repartition("token", "band").sortWithinPartitions("token", "band", "guest", "id")
+    return dealt.mapInArrow(run, "a long, b long, token long").distinct()
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Fewer rows an Arrow batch, as rows hold whole texts and arrays; every plan of ``link`` runs inside it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1000")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def link(docs: DataFrame, *, num: int = 75, den: int = 100, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
@@ -327,12 +392,17 @@ def link(docs: DataFrame, *, num: int = 75, den: int = 100, words: int = WORDS)
     A class is all documents of one set, named by its smallest doc_id. The links connect each
     component; they need not hold links between classes that other links connect.
     """
+    with _small_batches(docs.sparkSession):
+        return _link(docs, num, den, words)
+
+
+def _link(docs: DataFrame, num: int, den: int, words: int) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     sigs = materialize(signatures(docs, num, den, words), "signatures")
     filled = sigs.filter("n > 0 and doc_id is not null")
     classes = filled.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("light").alias("light"))
     salt = F.when(F.col("pos") >= F.col("light"), F.pmod(F.xxhash64("rep"), F.lit(SALTS)) + 1).otherwise(0)
-    entries = classes.select("rep", "n", "light", F.posexplode("prefix").alias("pos", "token")).select("token", (salt * (1 << 32) + F.col("n")).alias("aux"), "rep")
+    entries = classes.select("rep", "n", "light", F.posexplode("prefix").alias("pos", "token")).select("token", (salt * (1 << 32) + F.col("n")).alias("aux"), "rep", F.col("pos").cast("long"))
     tile = materialize(tiles(entries, num, den), "tiles")
     del classes, entries
     release(spark)
@@ -343,26 +413,43 @@ def link(docs: DataFrame, *, num: int = 75, den: int = 100, words: int = WORDS)
     across = leaders.join(first, "token").filter("first <> leader")
     tried = tile.filter("leader <> rep").select("leader", "rep").union(across.select("first", "leader"))
     tried = materialize(tried.select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct(), "tried")
-    ids = materialize(tile.select(F.col("rep").alias("id")).distinct(), "ids")
-    arrays = materialize(_arrays(docs, ids, words), "arrays")
-    links = materialize(_verified(tried, arrays, num, den), "links")
+    links = _verified(docs, sigs, tried, num, den, words)
     release(spark)
     roots = components(links)
 
-    # tiles in which some member and its leader, or two leaders, are still apart
+    # tiles in which some member and its leader, or two leaders, are still apart; two members have been
+    # compared already, and of tiles with the same members the first in the order of hashes is enough
     root = lambda name, to: roots.select(F.col("node").alias(name), F.col("root").alias(to))
-    apart = tried.join(root("a", "ra"), "a", "left").join(root("b", "rb"), "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    apart = materialize(apart, "apart")
+    apart = lambda pairs: pairs.join(root("a", "ra"), "a", "left").join(root("b", "rb"), "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
     pairs = tile.filter("leader <> rep").select("token", F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).union(across.select("token", F.least("first", "leader"), F.greatest("first", "leader")))
-    open_tokens = pairs.join(apart, ["a", "b"], "left_semi").select("token").distinct()
-    members = tile.join(open_tokens, "token", "left_semi").select("token", F.col("rep").alias("id"), "n").distinct()
-    members = members.join(root("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id")).join(arrays.select("id", "bits").dropDuplicates(["id"]), "id")
-    more = materialize(_pairs_of_tiles(members.select("token", "id", "n", "root", "bits"), num, den).join(tried, ["a", "b"], "left_anti"), "candidates")
-    more = materialize(_verified(more, arrays, num, den), "links")
-    if not more.isEmpty():
-        links = links.union(more)
-        roots = components(links)
-    release(spark)
+    open_tokens = pairs.join(apart(tried), ["a", "b"], "left_semi").select("token").distinct()
+    sets = tile.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"), F.min_by("pos", "rep").alias("p")).filter("c > 2")
+    open_tokens = sets.join(open_tokens, "token", "left_semi").groupBy("c", "x", "y").agg(F.min_by("token", "p").alias("token")).select("token", "c")
+    sketches = sigs.select(F.col("doc_id").alias("id"), "sketch").dropDuplicates(["id"])
+    members = materialize(tile.join(open_tokens, "token").select("token", F.col("rep").alias("id"), "n", "pos", "c").distinct(), "members")
+
+    # first each member's largest tile alone, then all tiles, then those with pairs left
+    largest = members.groupBy("id").agg(F.max_by("token", F.struct("c", "token")).alias("token"))
+    rows, k, first_round = members.join(largest, ["id", "token"], "left_semi").withColumn("pos", F.lit(0).cast("long")), CLOSEST, True
+    while True:
+        placed = rows.join(root("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        still = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
+        found = materialize(_pairs_of_tiles(placed.join(still, "token", "left_semi").join(sketches, "id").select("token", "id", "n", "root", "pos", "sketch"), k, num, den), "found")
+        new = materialize(found.filter("a is not null").select("a", "b").join(tried, ["a", "b"], "left_anti"), "candidates")
+        if not new.isEmpty():
+            more = _verified(docs, sigs, new, num, den, words)
+            tried = materialize(tried.union(new), "tried")
+            if not more.isEmpty():
+                links = materialize(links.union(more), "links")
+                roots = components(links)
+        release(spark)
+        left = found.filter("token is not null").select("token").distinct()
+        if first_round:
+            rows, first_round = members, False
+        elif left.isEmpty():
+            break
+        else:
+            rows, k = members.join(left, "token", "left_semi"), k * 16
 
     named = filled.groupBy("key").agg(F.min("doc_id").alias("rep"))
     out = sigs.select("doc_id", "n", "key").join(named, "key", "left").join(root("rep", "root"), "rep", "left")
