@@ -31,9 +31,9 @@ def test_nanosecond_index(spark, tmp_path):
 
 def test_listings(spark, tmp_path):
     lots = tmp_path / "lots.csv"
-    lots.write_text("UNDERLYING , Symbol \nx, NIFTY \nx, AAA\nx,AAA \nx, \n" + "".join(f"x,S{i}\n" for i in range(120)))
-    got = [r.symbol for r in store.underlyings(spark, str(lots)).collect()]
-    assert len(got) == 121 and "AAA" in got and "NIFTY" not in got
+    lots.write_text("UNDERLYING , Symbol \nx, NIFTY \nfirst, AAA\nsecond,AAA \nx, \n" + "".join(f"x,S{i}\n" for i in range(120)))
+    got = {r.symbol: r.underlying for r in store.underlyings(spark, str(lots)).collect()}
+    assert len(got) == 121 and got["AAA"] == "first" and "NIFTY" not in got
     with pytest.raises(store.SourceError, match="fewer"):
         store.underlyings(spark, str(lots), least=200)
     index = tmp_path / "index.csv"
