@@ -95,7 +95,6 @@ def test_empty_table(docs):
 
 
 def test_threshold_is_inclusive(docs):
-    # 7 common shingles, 9 or 10 in the union... and exactly three quarters
     base = [f"a{i}" for i in range(16)]  # 12 shingles
     exact = base[:13]  # 9 of them: 9 / 12
     below = base[:12]  # 8 of them: 8 / 12
