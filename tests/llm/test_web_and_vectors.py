@@ -183,6 +183,21 @@ def test_few_ties_and_unusable_vectors(spark):
     assert ann.search(df.limit(0), queries=F.col("vec_id") % 20 == 0).collect() == []
 
 
+def test_copies_and_near_copies_beyond_the_reranked_rows(spark):
+    rng = np.random.default_rng(4)
+    x = rng.integers(-32, 33, (2400, 8)) / 16.0  # products and sums of these are exact
+    x[:700] = x[0] * 2
+    x[700:1400] = x[700] * 2 + rng.integers(-8, 9, (700, 8)) / 4096
+    ids = rng.permutation(2400)
+    df = spark.createDataFrame([(int(i), v.tolist(), 0, 0.0, 0) for i, v in zip(ids, x, strict=True)], VECTORS)
+    truth = exact(ids, x)
+    for rows in (ann.ROWS, 900):
+        got = {}
+        for r in ann.search(df, queries=F.col("vec_id") % 20 == 0, rows=rows).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert got == truth
+
+
 def test_anisotropic_loss_beats_plain_assignment():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 16))

@@ -4,9 +4,12 @@ Codebooks of 16 centres a subspace are fitted to a bounded sample under the anis
 weighs the part of a residual that is parallel to its vector ``PARALLEL`` times the rest: errors along
 a vector are what changes its inner products with the queries that it matters for. Every row gets
 one 4-bit code a subspace. A block of queries scans a block of rows through lookup tables, two codes
-a byte; the best rows of each block are scored again exactly, in double precision.
+a byte; the best rows of each block are scored again exactly, in double precision. So is every other
+row that may reach the k-th of these scores, judged by its approximate score and the length of what its
+codes leave of it: the result is that of brute force, and codes only say how many rows need scoring.
 
-The rows of a block are bounded, the queries of a block too; blocks of queries meet blocks of rows
+Rows of a block with equal vectors are one entry of the scan, which stands for their smallest ids. The
+rows of a block are bounded, the queries of a block too; blocks of queries meet blocks of rows
 through an equi-join on a grid, and a query's partial results are reduced before and after a shuffle.
 
 Edge cases: vectors that are null, zero, of another length than the first sampled one, or hold null or
@@ -27,7 +30,7 @@ from tidemark.llm.common import materialize
 
 #: Rows that codebooks are fitted to, at most; numbers of a subspace; weight of the parallel part.
 TRAIN_ROWS, WIDTH, PARALLEL, ROUNDS = 4096, 2, 4.0, 6
-#: Rows and queries of a block, and rows of a block that are scored exactly for each query.
+#: Rows and queries of a block, and entries of a block that are scored exactly for each query at least.
 ROWS, QUERIES, RERANK = 16_384, 1024, 200
 
 
@@ -91,10 +94,12 @@ class Quantiser:
                     self.books[m, c] = np.linalg.solve(left, right)
             parallel = others + residual(m)
 
-    def packed(self, rows: np.ndarray) -> np.ndarray:
-        """(subspaces / 2, rows): two codes a byte."""
-        c = self.codes(rows)
-        return np.ascontiguousarray((c[:, ::2] | (c[:, 1::2] << 4)).T)
+    def packed(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(subspaces / 2, rows): two codes a byte; and how far each row's score may be from the approximate one, for a query of length 1."""
+        c, x = self.codes(rows), self.split(rows)
+        left = np.sqrt(((x - self.books[np.arange(c.shape[1]), c]) ** 2).sum((1, 2)))
+        rounding = (c.shape[1] + 4) * 2.0**-23 * (np.linalg.norm(rows, axis=1) + left)  # tables and their sums are single precision
+        return np.ascontiguousarray((c[:, ::2] | (c[:, 1::2] << 4)).T), left + rounding
 
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """(subspaces / 2, queries, 256): the inner products that each byte stands for."""
@@ -115,6 +120,32 @@ def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
+def _entries(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and their number for each distinct vector, and these vectors; ``ids`` ascend.
+
+    The 2 k smallest ids, each at most k times, hold the k smallest other than any one id.
+    """
+    held: dict[bytes, list[int]] = {}
+    first = []
+    for i, (number, row) in enumerate(zip(ids.tolist(), x, strict=True)):
+        mine = held.setdefault(row.tobytes(), [])
+        if not mine:
+            first.append(i)
+        if len(mine) < 2 * k and (len(mine) < k or mine[-k] != number):
+            mine.append(number)
+    return np.array([i for mine in held.values() for i in mine], dtype=np.int64), np.array([len(mine) for mine in held.values()], dtype=np.int64), x[first]
+
+
+def _exact(entries: np.ndarray, x: np.ndarray, starts: np.ndarray, counts: np.ndarray, ids: np.ndarray, query: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best ids that these entries stand for and their scores."""
+    scores, many = np.array([np.dot(x[e], query) for e in entries]), counts[entries]
+    mine = ids[np.repeat(starts[entries] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+    scores = np.repeat(scores, many)[mine != query_id]
+    mine = mine[mine != query_id]
+    kept = _top(scores, mine, k)
+    return mine[kept], scores[kept]
+
+
 def search(vectors: DataFrame, *, queries: Column, k: int = 20, id_column: str = "vec_id", vector: str = "embedding", rerank: int = RERANK, rows: int = ROWS, block: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found for every row that ``queries`` marks."""
     spark = vectors.sparkSession
@@ -129,14 +160,17 @@ def search(vectors: DataFrame, *, queries: Column, k: int = 20, id_column: str =
     row_blocks, query_blocks = max(1, -(-counts["n"] // rows)), max(1, -(-counts["q"] // block))
 
     def blob(frame: DataFrame, parts: int, name: str, encode: bool) -> DataFrame:
-        """One row a part: ids, vectors and, on request, codes as bytes."""
-        fields = [(name, pa.int64()), ("ids", pa.binary()), ("vectors", pa.binary()), ("codes", pa.binary())]
+        """One row a part as bytes: ids and vectors; on request the entries of distinct vectors, with their codes, numbers of ids and reach."""
+        fields = [(name, pa.int64()), *((c, pa.binary()) for c in ("ids", "vectors", "codes", "counts", "reach"))]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def out(part: int, ids: list, held: list) -> pa.RecordBatch:
-                ids, x = np.concatenate(ids), np.concatenate(held)
-                codes = sent.value.packed(x).tobytes() if encode else b""
-                return pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip((part, ids.tobytes(), x.tobytes(), codes), fields, strict=True)], schema=pa.schema(fields))
+                ids, x = np.concatenate(ids), np.concatenate(held) + 0.0  # no -0.0, equal vectors have equal bytes
+                counts, codes, reach = np.array([], np.int64), np.array([], np.uint8), np.array([])
+                if encode:
+                    ids, counts, x = _entries(ids, x, k)
+                    codes, reach = sent.value.packed(x)
+                return pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip((part, *(a.tobytes() for a in (ids, x, codes, counts, reach))), fields, strict=True)], schema=pa.schema(fields))
 
             now, ids, held = None, [], []
             for batch in batches:
@@ -153,7 +187,7 @@ def search(vectors: DataFrame, *, queries: Column, k: int = 20, id_column: str =
                 yield out(now, ids, held)
 
         dealt = frame.select(F.pmod(F.xxhash64("id", "v"), F.lit(parts)).alias(name), "id", "v").repartition(parts, name).sortWithinPartitions(name, "id", "v")
-        return dealt.mapInArrow(run, f"{name} long, ids binary, vectors binary, codes binary")
+        return dealt.mapInArrow(run, f"{name} long, ids binary, vectors binary, codes binary, counts binary, reach binary")
 
     of_rows = materialize(blob(all_rows, row_blocks, "row_block", True), "rows").withColumn("query_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
     of_queries = blob(all_rows.filter("q"), query_blocks, "query_block", False).select("query_block", F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"))
@@ -162,27 +196,35 @@ def search(vectors: DataFrame, *, queries: Column, k: int = 20, id_column: str =
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, x, codes, query_ids, q = (np.frombuffer(c[i].as_buffer(), dtype=t) for c, t in zip(batch.columns, ("<i8", "<f8", "u1", "<i8", "<f8"), strict=True))
-                x, q, codes = x.reshape(len(ids), -1), q.reshape(len(query_ids), -1), codes.reshape(-1, len(ids))
+                ids, x, codes, counts, reach, query_ids, q = (np.frombuffer(c[i].as_buffer(), dtype=t) for c, t in zip(batch.columns, ("<i8", "<f8", "u1", "<i8", "<f8", "<i8", "<f8"), strict=True))
+                x, q, codes = x.reshape(len(counts), -1), q.reshape(len(query_ids), -1), codes.reshape(-1, len(counts))
+                starts = np.cumsum(counts) - counts
+                low, high = ids[starts], ids[starts + counts - 1]
                 for at in range(0, len(query_ids), 32):
                     some, some_ids = q[at : at + 32], query_ids[at : at + 32]
                     tables = sent.value.tables(some)
-                    near = np.zeros((len(some), len(ids)), dtype=np.float32)
+                    near = np.zeros((len(some), len(counts)), dtype=np.float32)
                     for table, code in zip(tables, codes, strict=True):
                         near += table[:, code]
                     out: tuple[list, list, list] = [], [], []
                     for j, query_id in enumerate(some_ids):
-                        near[j, ids == query_id] = -np.inf
-                        best = np.argpartition(-near[j], rerank)[:rerank] if len(ids) > rerank else np.arange(len(ids))
-                        best = best[ids[best] != query_id]
-                        exact = np.array([np.dot(x[b], some[j]) for b in best])
-                        kept = _top(exact, ids[best], k)
-                        for column, values in zip(out, (np.full(len(kept), query_id), ids[best][kept], exact[kept]), strict=True):
+                        other = (low != query_id) | (high != query_id)
+                        near[j, ~other] = -np.inf
+                        best = np.argpartition(-near[j], rerank)[:rerank] if len(counts) > rerank else np.arange(len(counts))
+                        found, scores = _exact(best, x, starts, counts, ids, some[j], query_id, k)
+                        if len(counts) > rerank:
+                            # all that may reach the k-th score, by the bound of its codes and then but for rounding
+                            least = scores[-1] if len(scores) == k else -np.inf
+                            length = np.linalg.norm(some[j])
+                            rest = np.flatnonzero(~(near[j] + length * reach < least) & other)
+                            rest = rest[~(x[rest] @ some[j] < least - 1e-9 * length * np.linalg.norm(x[rest], axis=1))]
+                            found, scores = _exact(rest, x, starts, counts, ids, some[j], query_id, k)
+                        for column, values in zip(out, (np.full(len(found), query_id), found, scores), strict=True):
                             column.append(values)
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], schema=result)
 
-    grid = of_rows.join(of_queries, "query_block").select("ids", "vectors", "codes", "query_ids", "query_vectors", "row_block", "query_block")
-    grid = grid.repartition(row_blocks * query_blocks, "row_block", "query_block").select("ids", "vectors", "codes", "query_ids", "query_vectors")
+    grid = of_rows.join(of_queries, "query_block").select("ids", "vectors", "codes", "counts", "reach", "query_ids", "query_vectors", "row_block", "query_block")
+    grid = grid.repartition(row_blocks * query_blocks, "row_block", "query_block").select("ids", "vectors", "codes", "counts", "reach", "query_ids", "query_vectors")
     found = grid.mapInArrow(scan, "query_id long, vec_id long, score double")
     # a query's lists hold at most k rows a block of rows
     merged = found.groupBy("query_id").agg(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id", "score")).alias("all"))
