@@ -136,6 +136,39 @@ def test_license_labels(docs):
     assert rows[4].labels == "unlicense"
 
 
+def alignments_by_hand(index, words):
+    out = []
+    for (label, phrase, text), weight in zip(index.templates, index.weights, strict=True):
+        for start in range(-len(text), len(words)):
+            window = words[max(0, start) : max(0, start + len(text))]
+            covered = sum(index.idf[w] for p, w in enumerate(text) if 0 <= start + p < len(words) and words[start + p] == w) / weight
+            if covered >= licenses.COVERED and any(window[i : i + len(phrase)] == phrase for i in range(len(window))):
+                out.append((label, max(0, start), covered))
+    return sorted(out)
+
+
+def test_license_labels_of_several_notices_and_of_long_texts(docs):
+    mit, isc, bsd = (next(t for label, p, t in licenses.TEMPLATES if (label, p.split()[0]) == x) for x in (("mit", "permission"), ("isc", "permission"), ("bsd", "redistribution")))
+    ordinary = "affero mozilla unencumbered creative commons attribution dedicated international copying work terms subject public domain "
+    texts = [(1, f"{mit}. {isc}. {bsd}."), (2, ordinary * 3000 + "released under the bsd license " + ordinary * 3000), (3, " ".join(t for *_, t in licenses.TEMPLATES))]
+    texts += [(i, "released under the bsd license") for i in range(4, 9)]
+    rows = {r.doc_id: r.labels for r in licenses.digest(licenses.scan(docs(texts))).collect()}
+    assert rows[1] == "bsd,isc,mit"
+    assert {rows[i] for i in (2, 4, 5, 6, 7, 8)} == {"bsd"}
+    assert rows[3] == ",".join(sorted({label for label, *_ in licenses.TEMPLATES}))
+
+
+def test_license_alignments_equal_brute_force():
+    rng = random.Random(6)
+    notices = [t.split() for *_, t in licenses.TEMPLATES]
+    for skew in ({}, {b"bsd": 90, b"license": 95, b"released": 80, b"under": 99, b"the": 100}):
+        index = licenses.Index(licenses.TEMPLATES, licenses.BASE, skew, 100)
+        for _ in range(150):
+            words = [w for t in rng.choices(notices, k=6) for w in t[rng.choice([0, 0, 0, 1, 3]) :] if rng.random() > 0.03 or rng.random() < 0.1]
+            words = [w.encode() if rng.random() > 0.05 else b"x" for w in words]
+            assert index.scan(words)[1] == alignments_by_hand(index, words)
+
+
 def test_license_awkward_rows(awkward):
     rows = licenses.digest(licenses.scan(awkward)).collect()
     assert len(rows) == awkward.count() and {r.labels for r in rows} == {""}

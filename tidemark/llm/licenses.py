@@ -1,10 +1,10 @@
 """License scans by a positional rare-token index.
 
-Every template word has postings (template, position). For a text, the licence words it holds with
-the highest inverse document frequency, counted over all documents, are looked up; postings that
-agree on the template's place in the text are one alignment. Alignments are completed with the
-template's other words at their relative positions, and count if the template's mandatory key phrase
-stands there. Phrases of the base are verified around their rarest word and found at every place.
+Each phrase of the base and each template's mandatory key phrase is posted under its rarest word, by
+inverse document frequency over all documents, with that word's position. Phrases are verified around
+this word and found at every place, whatever else the text holds. A template is aligned at every start
+that has its key phrase inside, and the alignment counts if the template's words at their relative
+positions cover enough of its weight.
 
 Edge cases: a null or empty text has no word and no label, score 0; texts are read whole; repeated
 rows are scanned each; an empty table gives an empty result; further columns are not read.
@@ -44,8 +44,6 @@ TEMPLATES = [
     ("unlicense", "released into the public domain", "this is free and unencumbered software released into the public domain"),
     ("isc", "permission to use copy modify and", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
 ]
-#: Licence words of a text that are looked up, those with the highest inverse document frequency.
-RARE = 8
 #: Share of a template's weight that an alignment must cover.
 COVERED = 0.6
 
@@ -58,49 +56,41 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Index:
-    """Positional postings of templates and base phrases, with document frequencies."""
+    """Positional postings of key and base phrases, with document frequencies."""
 
     def __init__(self, templates: list[tuple[str, str, str]], base: dict[str, str], frequency: dict[bytes, int], documents: int) -> None:
         self.templates = [(label, phrase.encode().split(), text.encode().split()) for label, phrase, text in templates]
         self.base = [(phrase.encode().split(), label) for phrase, label in base.items()]
         vocabulary = {w for _, phrase, text in self.templates for w in phrase + text} | {w for phrase, _ in self.base for w in phrase}
         self.idf = {w: math.log((documents + 1) / (frequency.get(w, 0) + 0.5)) + 1e-3 for w in vocabulary}
-        self.postings: dict[bytes, list[tuple[int, int]]] = {w: [] for w in vocabulary}
-        for t, (_, _, text) in enumerate(self.templates):
-            for p, w in enumerate(text):
-                self.postings[w].append((t, p))
         rarest = lambda phrase: max(range(len(phrase)), key=lambda i: (self.idf[phrase[i]], -i))
-        self.anchors = [(phrase, label, rarest(phrase)) for phrase, label in self.base]
+        self.postings: dict[bytes, list[tuple[tuple[bytes, ...], int]]] = {}
+        for phrase in dict.fromkeys(tuple(p) for p in (*(p for p, _ in self.base), *(p for _, p, _ in self.templates))):
+            self.postings.setdefault(phrase[rarest(phrase)], []).append((phrase, rarest(phrase)))
         self.weights = [sum(self.idf[w] for w in text) for _, _, text in self.templates]
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, str]], list[tuple[str, int, float]]]:
         """(start, label) of every base phrase; (label, start, covered share) of every accepted alignment."""
-        present = self.idf.keys() & set(words)
+        present = self.postings.keys() & set(words)
         if not present:
             return [], []
-        rare = sorted(present, key=lambda w: (-self.idf[w], w))[:RARE]
-        wanted = {*rare, *(phrase[i] for phrase, _, i in self.anchors if phrase[i] in present)}
-        places: dict[bytes, list[int]] = {w: [] for w in wanted}
-        for i, w in enumerate(words):
-            if w in wanted:
-                places[w].append(i)
-        found = [(at - i, label) for phrase, label, i in self.anchors for at in places.get(phrase[i], ()) if at >= i and words[at - i : at - i + len(phrase)] == phrase]
-        votes: Counter = Counter((t, at - p) for w in rare for t, p in self.postings[w] for at in places[w])
+        spots: dict[tuple[bytes, ...], list[int]] = {}
+        for at, w in enumerate(words):
+            if w in present:
+                for phrase, i in self.postings[w]:
+                    if at >= i and tuple(words[at - i : at - i + len(phrase)]) == phrase:
+                        spots.setdefault(phrase, []).append(at - i)
+        found = [(at, label) for phrase, label in self.base for at in spots.get(tuple(phrase), ())]
         accepted = []
-        for (t, start), n in votes.items():
-            label, phrase, text = self.templates[t]
-            if n < 2 and len(text) > 2:
-                continue
-            covered = sum(self.idf[w] for p, w in enumerate(text) if 0 <= start + p < len(words) and words[start + p] == w) / self.weights[t]
-            if covered >= COVERED and _holds(words[max(0, start) : start + len(text)], phrase):
-                accepted.append((label, max(0, start), covered))
+        for (label, phrase, text), weight in zip(self.templates, self.weights, strict=True):
+            spare = len(text) - len(phrase)
+            for start in {at - i for at in spots.get(tuple(phrase), ()) for i in range(spare + 1)}:
+                covered = sum(self.idf[w] for p, w in enumerate(text) if 0 <= start + p < len(words) and words[start + p] == w) / weight
+                if covered >= COVERED:
+                    accepted.append((label, max(0, start), covered))
         return sorted(found), sorted(accepted)
 
 
-def _holds(words: list[bytes], phrase: list[bytes]) -> bool:
-    return any(words[i : i + len(phrase)] == phrase for i, w in enumerate(words) if w == phrase[0])
-
-
 def frequencies(docs: DataFrame, vocabulary: set[bytes]) -> tuple[dict[bytes, int], int]:
     """In how many of all documents each licence word stands, and the number of documents."""
     ordered = sorted(vocabulary)
