@@ -198,6 +198,23 @@ def test_copies_and_near_copies_beyond_the_reranked_rows(spark):
         assert got == truth
 
 
+def test_repeated_queries(spark):
+    rng = np.random.default_rng(8)
+    x = rng.integers(-32, 33, (300, 4)) / 16.0
+    rows = [(i + 1 if i % 20 == 19 else i, v.tolist()) for i, v in enumerate(x)][:299]
+    rows = [(i, v) for i, v in rows if i % 20] + [(20, [1.0, 2.0, 0.0, 0.5])] * 3 + [(40, [0.5, 0.0, 1.0, 0.0]), (40, [-1.0, 0.0, 0.0, 0.25]), (40, [-1.0, -0.0, 0.0, 0.25])]
+    df = spark.createDataFrame([(i, v, 0, 0.0, 0) for i, v in rows], VECTORS)
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    truth = []
+    for i, v in [(20, rows[-4][1]), (40, rows[-3][1]), (40, rows[-2][1])]:
+        s = x @ np.array(v)
+        order = [j for j in np.lexsort((ids, -s)) if ids[j] != i][:20]
+        truth += [(i, rank, int(ids[j]), float(s[j])) for rank, j in enumerate(order, 1)]
+    for size in (ann.ROWS, 70):
+        got = ann.search(df, queries=F.col("vec_id") % 20 == 0, rows=size, block=2).collect()
+        assert sorted(map(tuple, got)) == sorted(truth)
+
+
 def test_anisotropic_loss_beats_plain_assignment():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 16))

@@ -14,7 +14,8 @@ through an equi-join on a grid, and a query's partial results are reduced before
 
 Edge cases: vectors that are null, zero, of another length than the first sampled one, or hold null or
 non-finite numbers take no part; ties go to the smaller id; rows that repeat an id are candidates
-each, but never for a query of the same id; an empty table gives an empty result.
+each, but never for a query of the same id; query rows of equal id and vector give one list, those of
+equal id and different vectors a list each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -190,13 +191,14 @@ def search(vectors: DataFrame, *, queries: Column, k: int = 20, id_column: str =
         return dealt.mapInArrow(run, f"{name} long, ids binary, vectors binary, codes binary, counts binary, reach binary")
 
     of_rows = materialize(blob(all_rows, row_blocks, "row_block", True), "rows").withColumn("query_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
-    of_queries = blob(all_rows.filter("q"), query_blocks, "query_block", False).select("query_block", F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"))
-    result = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    of_queries = blob(all_rows.filter("q").select("id", "v").distinct(), query_blocks, "query_block", False).select("query_block", F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"))
+    result = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, x, codes, counts, reach, query_ids, q = (np.frombuffer(c[i].as_buffer(), dtype=t) for c, t in zip(batch.columns, ("<i8", "<f8", "u1", "<i8", "<f8", "<i8", "<f8"), strict=True))
+                ids, x, codes, counts, reach, query_ids, q = (np.frombuffer(c[i].as_buffer(), dtype=t) for c, t in zip(batch.columns[:-1], ("<i8", "<f8", "u1", "<i8", "<f8", "<i8", "<f8"), strict=True))
+                block_number = batch.column(7)[i].as_py() << 32
                 x, q, codes = x.reshape(len(counts), -1), q.reshape(len(query_ids), -1), codes.reshape(-1, len(counts))
                 starts = np.cumsum(counts) - counts
                 low, high = ids[starts], ids[starts + counts - 1]
@@ -206,7 +208,7 @@ def search(vectors: DataFrame, *, queries: Column, k: int = 20, id_column: str =
                     near = np.zeros((len(some), len(counts)), dtype=np.float32)
                     for table, code in zip(tables, codes, strict=True):
                         near += table[:, code]
-                    out: tuple[list, list, list] = [], [], []
+                    out: tuple[list, list, list, list] = [], [], [], []
                     for j, query_id in enumerate(some_ids):
                         other = (low != query_id) | (high != query_id)
                         near[j, ~other] = -np.inf
@@ -219,15 +221,15 @@ def search(vectors: DataFrame, *, queries: Column, k: int = 20, id_column: str =
                             rest = np.flatnonzero(~(near[j] + length * reach < least) & other)
                             rest = rest[~(x[rest] @ some[j] < least - 1e-9 * length * np.linalg.norm(x[rest], axis=1))]
                             found, scores = _exact(rest, x, starts, counts, ids, some[j], query_id, k)
-                        for column, values in zip(out, (np.full(len(found), query_id), found, scores), strict=True):
+                        for column, values in zip(out, (np.full(len(found), block_number + at + j), np.full(len(found), query_id), found, scores), strict=True):
                             column.append(values)
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], schema=result)
 
     grid = of_rows.join(of_queries, "query_block").select("ids", "vectors", "codes", "counts", "reach", "query_ids", "query_vectors", "row_block", "query_block")
-    grid = grid.repartition(row_blocks * query_blocks, "row_block", "query_block").select("ids", "vectors", "codes", "counts", "reach", "query_ids", "query_vectors")
-    found = grid.mapInArrow(scan, "query_id long, vec_id long, score double")
-    # a query's lists hold at most k rows a block of rows
-    merged = found.groupBy("query_id").agg(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id", "score")).alias("all"))
+    grid = grid.repartition(row_blocks * query_blocks, "row_block", "query_block").select("ids", "vectors", "codes", "counts", "reach", "query_ids", "query_vectors", "query_block")
+    found = grid.mapInArrow(scan, "query long, query_id long, vec_id long, score double")
+    # a query's lists hold at most k rows a block of rows; its block and place number it, as ids may repeat
+    merged = found.groupBy("query", "query_id").agg(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id", "score")).alias("all"))
     best = merged.select("query_id", F.posexplode(F.slice(F.array_sort("all"), 1, k)).alias("pos", "x"))
     return best.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
 
