@@ -79,6 +79,17 @@ def test_components_equal_brute_force(spark, docs, seed, monkeypatch):
     assert all(sets[r.a] & sets[r.b] for r in links.collect())
 
 
+def test_doc_ids_of_several_texts_keep_their_links(docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "FREQUENT", 5)
+    monkeypatch.setattr(jaccard, "SALTS", 3)
+    monkeypatch.setattr(jaccard, "CLOSEST", 1)
+    rows, rng = corpus(1), random.Random(9)
+    unlike = [(i, " ".join(f"v{rng.randrange(10**9)}" for _ in range(400))) for i, _ in rows]  # 396 shingles
+    members, _ = jaccard.link(docs([x for pair in zip(unlike, rows, strict=True) for x in pair]))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in members.collect() if r.n_shingles != 396}
+    assert got == by_hand(rows)
+
+
 def test_awkward_rows(awkward):
     members, _ = jaccard.link(awkward)
     rows = members.collect()

@@ -365,6 +365,8 @@ def _pairs_of_tiles(members: DataFrame, k: int, num: int, den: int) -> DataFrame
                 if (token, band) != key:
                     yield from found()
                     key, home, guests = (token, band), [], []
+                if int.from_bytes(sketched[:8], "little") != n:  # of another set of this doc_id
+                    continue
                 (guests if guest else home).append((token, i, n, root, pos, sketched))
         yield from found()
 
@@ -425,7 +427,7 @@ def _link(docs: DataFrame, num: int, den: int, words: int) -> tuple[DataFrame, D
     open_tokens = pairs.join(apart(tried), ["a", "b"], "left_semi").select("token").distinct()
     sets = tile.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"), F.min_by("pos", "rep").alias("p")).filter("c > 2")
     open_tokens = sets.join(open_tokens, "token", "left_semi").groupBy("c", "x", "y").agg(F.min_by("token", "p").alias("token")).select("token", "c")
-    sketches = sigs.select(F.col("doc_id").alias("id"), "sketch").dropDuplicates(["id"])
+    sketches = filled.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("sketch").alias("held"))  # a doc_id may stand for several sets
     members = materialize(tile.join(open_tokens, "token").select("token", F.col("rep").alias("id"), "n", "pos", "c").distinct(), "members")
 
     # first each member's largest tile alone, then all tiles, then those with pairs left
@@ -434,7 +436,7 @@ def _link(docs: DataFrame, num: int, den: int, words: int) -> tuple[DataFrame, D
     while True:
         placed = rows.join(root("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         still = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
-        found = materialize(_pairs_of_tiles(placed.join(still, "token", "left_semi").join(sketches, "id").select("token", "id", "n", "root", "pos", "sketch"), k, num, den), "found")
+        found = materialize(_pairs_of_tiles(placed.join(still, "token", "left_semi").join(sketches, "id").select("token", "id", "n", "root", "pos", F.explode("held").alias("sketch")), k, num, den), "found")
         new = materialize(found.filter("a is not null").select("a", "b").join(tried, ["a", "b"], "left_anti"), "candidates")
         if not new.isEmpty():
             more = _verified(docs, sigs, new, num, den, words)
