@@ -68,9 +68,12 @@ def corpus(seed, groups=20, copies=6, hot=40):
 def test_components_equal_brute_force(spark, docs, seed, monkeypatch):
     if seed:  # frequent hashes, salted tiles and several rounds at a small size
         monkeypatch.setattr(jaccard, "FREQUENT", 5)
+        monkeypatch.setattr(jaccard, "HOT", 9)
         monkeypatch.setattr(jaccard, "SALTS", 3)
         monkeypatch.setattr(jaccard, "CLOSEST", 1)
-        monkeypatch.setattr(jaccard, "BLOCK", 16)
+        monkeypatch.setattr(jaccard, "GROWTH", 64)
+        monkeypatch.setattr(jaccard, "CHUNK", 7)
+        monkeypatch.setattr(jaccard, "BLOCK", 3)
     rows = corpus(seed)
     members, links = jaccard.link(docs(rows))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in members.collect()}
@@ -136,7 +139,8 @@ def test_prefixes_of_similar_sets_meet():
         b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.12], rng.integers(0, 1 << 40, 3).astype(np.uint64)]))
         if jaccard.similar(a, b, 75, 100):
             frequent = np.sort(rng.choice(a, len(a) // 3, replace=False))
-            p, q = (jaccard.prefix(x, frequent, 75, 100)[0] for x in (a, b))
+            order = jaccard.Order(frequent, rng.random(len(frequent)) < 0.5)
+            p, q = (jaccard.prefix(x, order, 75, 100)[0] for x in (a, b))
             assert np.intersect1d(p, q).size
 
 

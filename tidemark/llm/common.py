@@ -5,20 +5,30 @@ Texts travel to Python through Arrow batches; intermediate tables are staged in
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.stage import materialize, new_folder, release
+from tidemark.sources.stage import discard, materialize, new_folder, release
 
-__all__ = ["CACHE_WORDS", "STEP", "WordHash", "labelled_sample", "learn", "map_rows", "materialize", "new_folder", "read", "release", "remainder", "slices"]
+__all__ = [
+    "BROADCAST_ROWS", "CACHE_WORDS", "WordHash", "discard", "give_back", "labelled_sample", "learn", "map_rows", "materialize", "new_folder", "quoted", "read", "release",
+    "remainder", "slices", "small",
+]
 
 #: Entries of a worker's word cache; it is emptied when full, so memory stays bounded.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
+#: Rows, and bytes of text, that become Python objects at once; a longer text comes alone.
+STEP, STEP_BYTES = 1000, 1 << 20
+#: Rows of a broadcast side at most, where each row is a number or two.
+BROADCAST_ROWS = 200_000
 
 
 class WordHash(dict):
@@ -31,8 +41,16 @@ class WordHash(dict):
         return value
 
 
+def give_back() -> None:
+    """Return freed memory to the system: an idle worker process would else keep a task's peak."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
 def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[..., list[tuple]]], *columns: str) -> DataFrame:
-    """Apply ``start()`` once per task, then its result to the Python lists of ``columns`` of each batch.
+    """Apply ``start()`` once per task, then its result to the Python lists of ``columns`` of each slice.
 
     The function returns rows as tuples in the order of ``schema``.
     """
@@ -48,17 +66,39 @@ def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[..., list[
                 rows = work(*(c.to_pylist() for c in part.columns))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), target, strict=True)], schema=target)
+        give_back()
 
     return frame.mapInArrow(run, schema)
 
 
-#: Rows that become Python objects at once.
-STEP = 1000
+def cuts(columns: list[pa.Array], rows: int) -> Iterator[tuple[int, int]]:
+    """(start, length) of parts of at most STEP rows and, unless one row has more, STEP_BYTES of texts and lists."""
+    held = np.zeros(rows + 1, dtype=np.int64)
+    for column in columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            held[1:] += np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+        elif pa.types.is_list(column.type):
+            held[1:] += 8 * np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < rows:
+        end = min(at + STEP, max(at + 1, int(np.searchsorted(held, held[at] + STEP_BYTES, side="right")) - 1))
+        yield at, end - at
+        at = end
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, STEP):
-        yield batch.slice(at, STEP)
+    for part in cuts(batch.columns, batch.num_rows):
+        yield batch.slice(*part)
+
+
+def quoted(name: str) -> str:
+    """A column's name as a reference, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def small(side: DataFrame) -> DataFrame:
+    """A staged table of one or two numbers a row, broadcast if it has few rows; else the join shuffles."""
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
 
 
 def remainder(doc_id: str | Column, by: int) -> Column:
@@ -67,17 +107,19 @@ def remainder(doc_id: str | Column, by: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, folds: int, fold: int, learn_from_fold: bool, rows: int) -> DataFrame:
-    """(doc_id, text, y) of at most ``rows`` labelled ids outside the held-out fold, chosen by a hash of the id.
+    """(text, y) of at most ``rows`` documents with labels outside the held-out fold, chosen by a hash of the id.
 
-    ``rows`` bounds what is broadcast (ids) and what one training task reads. Labels other than 0 and
-    1 and null ids are left out; ids labelled in contradiction count with their larger label.
+    ``rows`` bounds what is broadcast (ids) and what one training task reads: of rows that repeat an id,
+    one is learned from. Labels other than 0 and 1 and null ids are left out; ids labelled in
+    contradiction count with their larger label.
     """
     spark = docs.sparkSession
     inside = remainder("doc_id", folds) == fold
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col(target).isin(0, 1)).filter(inside if learn_from_fold else ~inside)
     picked = usable.groupBy("doc_id").agg(F.max(target).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     found = spark.createDataFrame(picked.collect(), picked.schema)  # at most `rows` pairs of numbers
-    return docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(found), "doc_id")
+    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(found), "doc_id")
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y")
 
 
 def learn(sample: DataFrame, start: Callable[[], tuple[Callable, Callable]]) -> object | None:
@@ -95,6 +137,8 @@ def learn(sample: DataFrame, start: Callable[[], tuple[Callable, Callable]]) ->
                 seen += part.num_rows
         if seen:
             yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(finish())], pa.binary())})
+        del add, finish
+        give_back()
 
     ordered = sample.select("text", "y").repartition(1).sortWithinPartitions(F.xxhash64("text"), "text", "y")
     rows = ordered.mapInArrow(run, "model binary").collect()  # one model of a fixed size

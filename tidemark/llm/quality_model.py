@@ -17,10 +17,10 @@ from collections.abc import Callable
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 
+from tidemark.llm import scoring
 from tidemark.llm.common import CACHE_WORDS, labelled_sample, learn
-from tidemark.llm.scoring import with_scores
 
 #: Labelled documents that are learned from, at most.
 TRAIN_ROWS = 8000
@@ -142,9 +142,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 5, held_out: int = 0
     return learn(labelled_sample(docs, labels, "quality", folds, held_out, False, rows), start)
 
 
-def score(docs: DataFrame, model: dict | None, *keep: str) -> DataFrame:
-    """``keep`` columns plus score (that quality is 1) and predicted for every row of ``docs``."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # WORDS x DIM numbers and the network
+def scorer(spark: SparkSession, model: dict | None) -> Callable[[Column], Column]:
+    """A function from a text column to the probability that a text's quality is 1."""
+    sent = spark.sparkContext.broadcast(model)  # WORDS x DIM numbers and the network
 
     def start() -> Callable:
         net, ids = sent.value, TokenIds()
@@ -159,4 +159,9 @@ def score(docs: DataFrame, model: dict | None, *keep: str) -> DataFrame:
 
         return work
 
-    return with_scores(docs, start, THRESHOLD, *keep)
+    return scoring.scorer(start)
+
+
+def score(docs: DataFrame, model: dict | None, *keep: str) -> DataFrame:
+    """``keep`` columns plus score (that quality is 1) and predicted for every row of ``docs``."""
+    return scoring.with_scores(docs, scorer(docs.sparkSession, model), THRESHOLD, *keep)

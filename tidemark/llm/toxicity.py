@@ -15,10 +15,10 @@ import re
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 
+from tidemark.llm import scoring
 from tidemark.llm.common import WordHash, labelled_sample, learn
-from tidemark.llm.scoring import with_scores
 
 #: Width of the hashed feature space.
 BITS = 20
@@ -102,15 +102,20 @@ def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held_out: int = 1
     return learn(sample, start) or {"idx": np.array([], dtype=np.int64), "w": np.array([]), "b": 0.0}
 
 
-def score(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
-    """``keep`` columns plus score and predicted for every row of ``docs``."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # as many weights as there are features, at most
+def scorer(spark: SparkSession, model: dict) -> Callable[[Column], Column]:
+    """A function from a text column to the probability that a text is toxic."""
+    sent = spark.sparkContext.broadcast(model)  # as many weights as there are features, at most
 
     def start() -> Callable:
-        dense = np.zeros(1 << BITS, dtype=np.float64)
+        dense = np.zeros(1 << BITS, dtype=np.float32)
         dense[sent.value["idx"]] = sent.value["w"]
         b = sent.value["b"]
         hashes = WordHash()
-        return lambda texts: [1 / (1 + np.exp(-np.clip(dense[features(t, hashes)].sum() + b, -35, 35))) for t in texts]
+        return lambda texts: [1 / (1 + np.exp(-np.clip(dense[features(t, hashes)].sum(dtype=np.float64) + b, -35, 35))) for t in texts]
+
+    return scoring.scorer(start)
 
-    return with_scores(docs, start, THRESHOLD, *keep)
+
+def score(docs: DataFrame, model: dict, *keep: str) -> DataFrame:
+    """``keep`` columns plus score and predicted for every row of ``docs``."""
+    return scoring.with_scores(docs, scorer(docs.sparkSession, model), THRESHOLD, *keep)
