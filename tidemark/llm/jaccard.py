@@ -49,7 +49,7 @@ HOT, SALTS = 16, 32
 #: Closest pairs that each member of a tile gives in the first round; GROWTH times as many in each further one.
 CLOSEST, GROWTH = 2, 32
 #: Rows of a size band that are searched as one piece of work, and how many are compared at once.
-CHUNK, BLOCK = 2048, 512
+CHUNK, BLOCK = 512, 512
 
 # Odd numbers with well mixed bits, added to the hash of a shingle's first, second, ... word.
 _factors = np.array(
