@@ -1,9 +1,10 @@
 """A corpus pipeline: toxicity, quality, near duplicates, packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of
-documents. Stage results are Parquet, reread as the next stage's documents. Null and empty texts pass
-or fail by their scores; they have no near duplicates. Rows that repeat a doc_id leave the third stage
-once; rows without a doc_id cannot be named there and stay. An empty table stays empty.
+documents, whatever their names. Stage results are Parquet, reread as the next stage's documents. Null
+and empty texts pass or fail by their scores; they have no near duplicates. Rows that share a doc_id
+are documents of their own: of equal or similar texts one row leaves the third stage, unlike texts all
+stay. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -18,22 +19,19 @@ from tidemark.llm.common import materialize, read
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1; documents predicted toxic go."""
-    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+    score = toxicity.scorer(spark, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+    return docs.filter(score(docs["text"]) < toxicity.THRESHOLD)
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8; documents not predicted to be of quality go."""
-    model = quality_model.fit(docs, read(spark, sf_dir, "labels"))
-    return quality_model.score(docs, model).filter("predicted = 1").select(*docs.columns)
+    score = quality_model.scorer(spark, quality_model.fit(docs, read(spark, sf_dir, "labels")))
+    return docs.filter(score(docs["text"]) >= quality_model.THRESHOLD)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4; of each component the document with the smallest doc_id stays."""
-    members, _ = jaccard.link(docs)
-    stay = members.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    return jaccard.one_of_each(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
