@@ -1,8 +1,10 @@
 import hashlib
+import json
 import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -180,7 +182,6 @@ def test_license_awkward_rows(awkward):
 
 def check_packing(rows, texts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     by_doc, by_sequence = {}, {}
     for r in rows:
         by_doc.setdefault(r.doc_id, []).append(r)
@@ -219,6 +220,23 @@ def test_packing_awkward_rows(docs):
     assert packing.pack(docs([])).collect() == []
 
 
+def test_ids_equal_the_library(tmp_path):
+    """Word by word or as a whole, with an added token or under other settings: as the untouched library gives them."""
+    untouched = Tokenizer.from_file(packing.VOCABULARY)
+    ids, rng = packing.Ids(packing.VOCABULARY), random.Random(3)
+    assert ids.by_word
+    assert ids("hello <|endoftext|> there").tolist() == [31373, 220, 50256, 612]
+    some = ["'s", "'RE", "  ", "\n\n", "\t", "a", "Ü", "9", "½", "_", "...", "'", " ", "\x00", "\x1c", "\x85", "é", "ж", "日本", "🙂", "<|endoftext|>", "<|end", "word"]
+    for _ in range(1500):
+        text = "".join(rng.choices(some, k=rng.randint(0, 12)))
+        assert ids(text).tolist() == untouched.encode(text, add_special_tokens=False).ids
+    settings = json.loads(Path(packing.VOCABULARY).read_text()) | {"normalizer": {"type": "Lowercase"}}
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(settings))
+    assert not packing.Ids(str(other)).by_word
+    assert packing.Ids(str(other))("HELLO there").tolist() == untouched.encode("hello there", add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_differencing_is_a_partition_and_balanced(seed):
     rng = random.Random(seed)

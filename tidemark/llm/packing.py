@@ -17,20 +17,20 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import tiktoken
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm.bpe import encode
-from tidemark.llm.common import slices
+from tidemark.llm.common import give_back, slices
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END = 1
@@ -39,36 +39,65 @@ CAPACITY = 2048
 UNIT, GROUP = 512, 512
 
 
+#: Words whose ids a worker remembers; the older half goes when as many new ones have come.
+REMEMBERED = 400_000
 #: Characters beyond these blocks may be newer than one of the libraries' character tables.
 _rare = re.compile("[^\x00-\u024f\u0370-\u03ff\u0400-\u04ff\u2000-\u206f\u20ac]").search
+# The settings of a tokenizer file under which its library encodes each match of the pattern by itself.
+_PLAIN = {"normalizer": None, "truncation": None, "padding": None}
+_SPLIT = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
 
 
-class Ids:
-    """The ids that the tokenizers library gives for a byte-level BPE vocabulary file.
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary.
 
-    Where every character belongs to a long established block, tiktoken merges by the same file's
-    ranks, several times as fast; other texts, and files whose ids are not in the order of their
-    merges, go through the tokenizers library itself.
+    Printable bytes stand for themselves, the others follow from 256 on.
+    """
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in printable else next(others)) for b in range(256)]
+
+
+class Ids(dict):
+    """The ids that the tokenizers library gives for a byte-level BPE vocabulary file, special tokens recognised.
+
+    The library's model merges each word once and the ids are remembered by word, as its whole-text call
+    spends most of its time on offsets. Texts that hold an added token or a character beyond long
+    established blocks, and files with other settings, go through the whole-text call.
     """
 
     def __init__(self, path: str) -> None:
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
-        # the byte alphabet: printable bytes stand for themselves, others follow from 256 on
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        others = [b for b in range(256) if b not in set(printable)]
-        byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        in_order = all(model["vocab"].get(a + b) == 256 + i for i, (a, b) in enumerate(pairs))
-        ranks = {bytes(byte_of[c] for c in token): n for token, n in model["vocab"].items() if n < 256 + len(pairs)}
-        self.fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}) if in_order else None
+            settings = json.load(file)
+        agrees = lambda held, wanted: all((held or {}).get(k) == v for k, v in wanted.items())
+        self.by_word = agrees(settings, _PLAIN) and agrees(settings["pre_tokenizer"], _SPLIT) and agrees(settings["model"], _MODEL)
+        added = [t["content"] for t in settings["added_tokens"]]
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
+        self.words, self.model = regex.compile(public_tokenizers.PATTERN).findall, self.tokenizer.model
+        self.letters = dict(enumerate(byte_letters()))
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+            ids = struct.pack(f"<{len(tokens)}I", *(t.id for t in tokens))
+        if len(word) > 64:
+            return ids
+        if 2 * len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
 
     def __call__(self, text: str | None) -> np.ndarray:
-        if self.fast and not _rare(text or ""):
-            return encode(self.fast, text)
-        return np.array(self.tokenizer.encode(text or "", add_special_tokens=False).ids, dtype="<u4")
+        text = text or ""
+        if self.by_word and not _rare(text) and not self.added(text):
+            return np.frombuffer(b"".join(map(self.__getitem__, self.words(text))), dtype="<u4")
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
 def cuts(n: int, capacity: int = CAPACITY, unit: int = UNIT) -> list[tuple[int, int]]:
@@ -136,6 +165,8 @@ def pieces(docs: DataFrame, *, capacity: int = CAPACITY, unit: int = UNIT, path:
                         ids = raw[4 * start : 4 * (start + length)]
                         rows.append((doc_id, start, length, zlib.crc32(ids), n) + (ids,) * with_ids)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], schema=pa.schema(fields))
+        del ids_of
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
 
