@@ -183,6 +183,22 @@ def test_few_ties_and_unusable_vectors(spark):
     assert ann.search(df.limit(0), queries=F.col("vec_id") % 20 == 0).collect() == []
 
 
+def test_the_commonest_length_takes_part(spark):
+    """Neither one odd vector nor its id decides; many lists of a query are merged in several steps."""
+    rng = np.random.default_rng(1)
+    x = rng.integers(-32, 33, (200, 4)) / 16.0
+    odd = [(i, [1.0] * n) for i, n in ((1000, 3), (2000, 5), (3000, 5))]
+    df = spark.createDataFrame([(i, v, 0, 0.0, 0) for i, v in [*odd, *enumerate(x.tolist())]], VECTORS)
+    truth = exact(np.arange(200), x)
+    for size, merged in ((ann.ROWS, 64), (20, 3)):
+        ann.MERGED, before = merged, ann.MERGED
+        got = {}
+        for r in ann.search(df, queries=F.col("vec_id") % 20 == 0, rows=size).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        ann.MERGED = before
+        assert got == truth
+
+
 def test_copies_and_near_copies_beyond_the_reranked_rows(spark):
     rng = np.random.default_rng(4)
     x = rng.integers(-32, 33, (2400, 8)) / 16.0  # products and sums of these are exact

@@ -12,10 +12,11 @@ Rows of a block with equal vectors are one entry of the scan, which stands for t
 rows of a block are bounded, the queries of a block too; blocks of queries meet blocks of rows
 through an equi-join on a grid, and a query's partial results are reduced before and after a shuffle.
 
-Edge cases: vectors that are null, zero, of another length than the first sampled one, or hold null or
-non-finite numbers take no part; ties go to the smaller id; rows that repeat an id are candidates
+Edge cases: vectors that are null, zero, of another length than most (the smallest of equally frequent
+lengths), or hold null or non-finite numbers take no part; ties go to the smaller id; rows that repeat an id are candidates
 each, but never for a query of the same id; query rows of equal id and vector give one list, those of
-equal id and different vectors a list each; an empty table gives an empty result.
+equal id and different vectors a list each; further columns are not read; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ from tidemark.llm.common import materialize
 
 #: Rows that codebooks are fitted to, at most; numbers of a subspace; weight of the parallel part.
 TRAIN_ROWS, WIDTH, PARALLEL, ROUNDS = 4096, 2, 4.0, 6
-#: Rows and queries of a block, and entries of a block that are scored exactly for each query at least.
-ROWS, QUERIES, RERANK = 16_384, 1024, 200
+#: Rows and queries of a block at most, and entries of a block that are scored exactly for each query at least.
+ROWS, QUERIES, RERANK = 32_768, 8192, 200
+#: Lists of a query that are merged at once.
+MERGED = 64
 
 
 def usable(vector: Column) -> Column:
@@ -108,12 +111,10 @@ class Quantiser:
         return (one[::2, :, None, :] + one[1::2, :, :, None]).reshape(len(one) // 2, len(queries), 256).astype(np.float32)
 
 
-def fit(vectors: DataFrame, id_column: str, vector: str, rows: int = TRAIN_ROWS) -> Quantiser | None:
-    """Codebooks from a bounded sample chosen by a hash of the id."""
-    sample = vectors.filter(usable(F.col(vector))).orderBy(F.xxhash64(id_column), id_column).limit(rows).select(F.col(vector).cast("array<double>"))
-    held = [r[0] for r in sample.collect()]
-    same = [v for v in held if len(v) == len(held[0])]
-    return Quantiser(np.array(same)) if same else None
+def fit(vectors: DataFrame, rows: int = TRAIN_ROWS) -> Quantiser:
+    """Codebooks from a bounded sample of (id, v), chosen by a hash."""
+    sample = vectors.orderBy(F.xxhash64("id", "v"), "id").limit(rows).select("v")
+    return Quantiser(np.array([r[0] for r in sample.collect()]))
 
 
 def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -139,7 +140,8 @@ def _entries(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
 
 def _exact(entries: np.ndarray, x: np.ndarray, starts: np.ndarray, counts: np.ndarray, ids: np.ndarray, query: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best ids that these entries stand for and their scores."""
-    scores, many = np.array([np.dot(x[e], query) for e in entries]), counts[entries]
+    # sums from the first component to the last, whatever else is scored beside
+    scores, many = np.cumsum(x[entries] * query, axis=1)[:, -1], counts[entries]
     mine = ids[np.repeat(starts[entries] - np.cumsum(many) + many, many) + np.arange(many.sum())]
     scores = np.repeat(scores, many)[mine != query_id]
     mine = mine[mine != query_id]
@@ -150,15 +152,18 @@ def _exact(entries: np.ndarray, x: np.ndarray, starts: np.ndarray, counts: np.nd
 def search(vectors: DataFrame, *, queries: Column, k: int = 20, id_column: str = "vec_id", vector: str = "embedding", rerank: int = RERANK, rows: int = ROWS, block: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found for every row that ``queries`` marks."""
     spark = vectors.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
-    quantiser = fit(vectors, id_column, vector)
-    if quantiser is None:
-        return spark.createDataFrame([], schema)
-    sent = spark.sparkContext.broadcast(quantiser)
     all_rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("q"))
-    all_rows = all_rows.filter(usable(F.col("v")) & (F.size("v") == quantiser.dim) & F.col("id").isNotNull())
-    counts = all_rows.agg(F.count("*").alias("n"), F.count_if("q").alias("q")).first()
-    row_blocks, query_blocks = max(1, -(-counts["n"] // rows)), max(1, -(-counts["q"] // block))
+    all_rows = all_rows.filter(usable(F.col("v")) & F.col("id").isNotNull())
+    lengths = all_rows.groupBy(F.size("v").alias("length")).agg(F.count("*").alias("n"), F.count_if("q").alias("q"))
+    common = lengths.orderBy(F.desc("n"), "length").limit(1).collect()
+    if not common:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    all_rows = all_rows.filter(F.size("v") == common[0]["length"])
+    sent = spark.sparkContext.broadcast(fit(all_rows))
+    kind = "<f4" if dict(vectors.dtypes)[vector] == "array<float>" else "<f8"  # of vectors between tasks
+    # few copies of the blocks between tasks, but work for all cores
+    row_blocks = max(1, -(-common[0]["n"] // rows))
+    query_blocks = max(1, -(-common[0]["q"] // block), min(-(-common[0]["q"] // 256), -(-2 * spark.sparkContext.defaultParallelism // row_blocks)))
 
     def blob(frame: DataFrame, parts: int, name: str, encode: bool) -> DataFrame:
         """One row a part as bytes: ids and vectors; on request the entries of distinct vectors, with their codes, numbers of ids and reach."""
@@ -171,7 +176,7 @@ def search(vectors: DataFrame, *, queries: Column, k: int = 20, id_column: str =
                 if encode:
                     ids, counts, x = _entries(ids, x, k)
                     codes, reach = sent.value.packed(x)
-                return pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip((part, *(a.tobytes() for a in (ids, x, codes, counts, reach))), fields, strict=True)], schema=pa.schema(fields))
+                return pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip((part, *(a.tobytes() for a in (ids, x.astype(kind), codes, counts, reach))), fields, strict=True)], schema=pa.schema(fields))
 
             now, ids, held = None, [], []
             for batch in batches:
@@ -192,14 +197,15 @@ def search(vectors: DataFrame, *, queries: Column, k: int = 20, id_column: str =
 
     of_rows = materialize(blob(all_rows, row_blocks, "row_block", True), "rows").withColumn("query_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
     of_queries = blob(all_rows.filter("q").select("id", "v").distinct(), query_blocks, "query_block", False).select("query_block", F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"))
-    result = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    result = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("part", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, x, codes, counts, reach, query_ids, q = (np.frombuffer(c[i].as_buffer(), dtype=t) for c, t in zip(batch.columns[:-1], ("<i8", "<f8", "u1", "<i8", "<f8", "<i8", "<f8"), strict=True))
-                block_number = batch.column(7)[i].as_py() << 32
-                x, q, codes = x.reshape(len(counts), -1), q.reshape(len(query_ids), -1), codes.reshape(-1, len(counts))
+                ids, x, codes, counts, reach, query_ids, q = (np.frombuffer(c[i].as_buffer(), dtype=t) for c, t in zip(batch.columns[:-2], ("<i8", kind, "u1", "<i8", "<f8", "<i8", kind), strict=True))
+                block_number, row_block = batch.column(7)[i].as_py() << 32, batch.column(8)[i].as_py()
+                x, q = (v.astype(np.float64).reshape(-1, sent.value.dim) for v in (x, q))
+                codes = codes.reshape(-1, len(counts))
                 starts = np.cumsum(counts) - counts
                 low, high = ids[starts], ids[starts + counts - 1]
                 for at in range(0, len(query_ids), 32):
@@ -208,7 +214,7 @@ def search(vectors: DataFrame, *, queries: Column, k: int = 20, id_column: str =
                     near = np.zeros((len(some), len(counts)), dtype=np.float32)
                     for table, code in zip(tables, codes, strict=True):
                         near += table[:, code]
-                    out: tuple[list, list, list, list] = [], [], [], []
+                    out: tuple[list, ...] = [], [], [], [], []
                     for j, query_id in enumerate(some_ids):
                         other = (low != query_id) | (high != query_id)
                         near[j, ~other] = -np.inf
@@ -221,16 +227,32 @@ def search(vectors: DataFrame, *, queries: Column, k: int = 20, id_column: str =
                             rest = np.flatnonzero(~(near[j] + length * reach < least) & other)
                             rest = rest[~(x[rest] @ some[j] < least - 1e-9 * length * np.linalg.norm(x[rest], axis=1))]
                             found, scores = _exact(rest, x, starts, counts, ids, some[j], query_id, k)
-                        for column, values in zip(out, (np.full(len(found), block_number + at + j), np.full(len(found), query_id), found, scores), strict=True):
+                        for column, values in zip(out, (np.full(len(found), block_number + at + j), np.full(len(found), query_id), np.full(len(found), row_block), found, scores), strict=True):
                             column.append(values)
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], schema=result)
 
-    grid = of_rows.join(of_queries, "query_block").select("ids", "vectors", "codes", "counts", "reach", "query_ids", "query_vectors", "row_block", "query_block")
-    grid = grid.repartition(row_blocks * query_blocks, "row_block", "query_block").select("ids", "vectors", "codes", "counts", "reach", "query_ids", "query_vectors", "query_block")
-    found = grid.mapInArrow(scan, "query long, query_id long, vec_id long, score double")
-    # a query's lists hold at most k rows a block of rows; its block and place number it, as ids may repeat
-    merged = found.groupBy("query", "query_id").agg(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id", "score")).alias("all"))
-    best = merged.select("query_id", F.posexplode(F.slice(F.array_sort("all"), 1, k)).alias("pos", "x"))
-    return best.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
-
-
+    names = ["ids", "vectors", "codes", "counts", "reach", "query_ids", "query_vectors", "query_block", "row_block"]
+    grid = of_rows.join(of_queries, "query_block").select(names).repartition(row_blocks * query_blocks, "row_block", "query_block")
+    found = grid.mapInArrow(scan, "query long, query_id long, part long, vec_id long, score double")
+    # a query's block and place number it, as ids may repeat; its lists are merged a bounded number at once
+    while True:
+        lists = found.groupBy("query", "query_id", F.floor(F.col("part") / MERGED).alias("part")).agg(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id", "score")).alias("all"))
+        best = lists.select("query", "query_id", "part", F.posexplode(F.slice(F.array_sort("all"), 1, k)).alias("pos", "x"))
+        row_blocks = -(-row_blocks // MERGED)
+        if row_blocks == 1:
+            return best.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
+        found = best.select("query", "query_id", "part", "x.vec_id", "x.score")
+
+
+def sql(table: str = "embeddings", *, queries: str = "vec_id % 20 = 0", k: int = 20, id_column: str = "vec_id", vector: str = "embedding") -> str:
+    """The same by brute force for DuckDB, where vectors have one length."""
+    return f"""
+WITH usable AS (
+  SELECT {id_column} AS id, {queries} AS q, CAST({vector} AS DOUBLE[]) AS v FROM {table} WHERE {id_column} IS NOT NULL AND {vector} IS NOT NULL
+), kept AS (
+  SELECT * FROM usable WHERE len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), scored AS (
+  SELECT a.id AS query_id, b.id AS vec_id, list_inner_product(a.v, b.v) AS score FROM (SELECT DISTINCT id, v FROM kept WHERE q) a JOIN kept b ON a.id <> b.id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= {k}"""

@@ -536,3 +536,20 @@ def one_of_each(docs: DataFrame, *, num: int = 75, den: int = 100, words: int =
     pick = F.min if ordered else F.first
     whole = F.struct(*(F.col(quoted(c)) for c in docs.columns))
     return single.union(several.groupBy(mark).agg(pick(whole).alias("whole")).select("whole.*"))
+
+
+def sql(num: int = 75, den: int = 100, words: int = WORDS) -> str:
+    """The rows of ``link`` without its classes as SQL for DuckDB, over all pairs that share a shingle."""
+    spaces = " || ".join(f"chr({c})" for c in (32, *range(9, 14)))
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    text = f"translate(translate(coalesce(text, ''), '{capitals}', '{capitals.lower()}'), {spaces}, '{' ' * 6}')"
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split({text}, ' '), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {words} THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - {words - 2}), lambda i: array_to_string(w[i:i + {words - 1}], ' ')) END) AS x FROM d),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.r <> b.r GROUP BY a.r, b.r),
+l AS (SELECT a, b FROM p JOIN n u ON u.r = a JOIN n v ON v.r = b WHERE {den} * c >= {num} * (u.n + v.n - c)),
+reached AS (SELECT r, r AS other FROM d UNION SELECT reached.r, l.b FROM reached JOIN l ON l.a = reached.other),
+smallest AS (SELECT reached.r, min(o.doc_id) AS component_id FROM reached JOIN d o ON o.r = reached.other GROUP BY reached.r)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM d JOIN smallest USING (r) LEFT JOIN n USING (r)"""

@@ -78,4 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality_rules.sql(),
+    "op4_ngram_jaccard": jaccard.sql(),
+    "op5_warc": warc.sql(),
+    "op10_neighbours": ann.sql(),
 }

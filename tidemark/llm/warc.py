@@ -211,3 +211,13 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
     names = spark.read.parquet(f"{folder}/index").select("bundle").distinct()
     names = names.repartition(spark.sparkContext.defaultParallelism * 4, "bundle")
     return names.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+
+
+def sql() -> str:
+    """What reading the archives of ``pages`` back gives, as SQL for DuckDB; page ids must be unique."""
+    letter = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31), 1)"
+    return f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+f AS (SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS h, min(page_id) OVER (PARTITION BY payload) AS first FROM p)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: {letter}), '') AS payload_digest,
+  CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to FROM f"""
