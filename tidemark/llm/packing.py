@@ -20,6 +20,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -100,6 +101,12 @@ class Ids(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
+@lru_cache(maxsize=1)
+def ids_by(path: str) -> Ids:
+    """A worker keeps the tokenizer of the last file, and its words, for the tasks that follow."""
+    return Ids(path)
+
+
 def cuts(n: int, capacity: int = CAPACITY, unit: int = UNIT) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens: full windows, then units."""
     full = n - n % capacity
@@ -154,7 +161,7 @@ def pieces(docs: DataFrame, *, capacity: int = CAPACITY, unit: int = UNIT, path:
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())] + [("ids", pa.binary())] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = Ids(path)
+        ids_of = ids_by(path)
         for batch in batches:
             for part in slices(batch):
                 rows = []
@@ -165,7 +172,6 @@ def pieces(docs: DataFrame, *, capacity: int = CAPACITY, unit: int = UNIT, path:
                         ids = raw[4 * start : 4 * (start + length)]
                         rows.append((doc_id, start, length, zlib.crc32(ids), n) + (ids,) * with_ids)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], schema=pa.schema(fields))
-        del ids_of
         give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
