@@ -160,6 +160,14 @@ def test_license_labels_of_several_notices_and_of_long_texts(docs):
     assert rows[3] == ",".join(sorted({label for label, *_ in licenses.TEMPLATES}))
 
 
+def test_license_bodies_are_told_apart(docs):
+    gnu = "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    texts = [(1, gnu.format("program", "", "3")), (2, gnu.format("program", "", "2")), (3, gnu.format("library", "Lesser ", "2.1")), (4, gnu.format("program", "Affero ", "3"))]
+    texts += [(5, "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."), (6, "free software general public license conditions and the following copyright notice")]
+    rows = {r.doc_id: r.labels for r in licenses.digest(licenses.scan(docs(texts))).collect()}
+    assert rows == {1: "gpl-3", 2: "gpl-2", 3: "lgpl", 4: "agpl", 5: "bsd", 6: ""}
+
+
 def test_license_alignments_equal_brute_force():
     rng = random.Random(6)
     notices = [t.split() for *_, t in licenses.TEMPLATES]

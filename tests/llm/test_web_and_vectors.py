@@ -103,7 +103,7 @@ def rule_by_hand(host, path):
     return max(fits, key=len, default=None)
 
 
-URLS = [None, "", "no scheme", "http://", "HTTP://EXAMPLE.NET/en/x", "http://net", "http://net/", "http://a.net?x", "https://a.b.example.net/en/1#f", "https://example.net/de/", "x://y.org/fr/://z", "http://notnet/", "http://example.com/de", "http://www.example.com/de/?a=1&b=2", "http://Ünï.ORG/fr/é\nx", "ftp://example.org#frag/fr/", "a" * 5000 + "://b.net/"]
+URLS = ["https://m.example.org/" + "a/1-" * 50_000 + "?" + "x=1&" * 10_000, None, "", "no scheme", "http://", "HTTP://EXAMPLE.NET/en/x", "http://net", "http://net/", "http://a.net?x", "https://a.b.example.net/en/1#f", "https://example.net/de/", "x://y.org/fr/://z", "http://notnet/", "http://example.com/de", "http://www.example.com/de/?a=1&b=2", "http://Ünï.ORG/fr/é\nx", "ftp://example.org#frag/fr/", "a" * 5000 + "://b.net/"]
 
 
 def test_parts_and_rules_equal_brute_force(spark):
@@ -130,6 +130,51 @@ def test_trees_learn_and_their_expression_agrees(spark):
         assert r.score == pytest.approx(1 / (1 + np.exp(-(base + sum(url_filter._value(t, x) for t in trees)))))
 
 
+def test_one_domain_gets_both_verdicts(spark):
+    """Lexical features turn verdicts; the rate of a suffix alone does not decide."""
+    rng = random.Random(8)
+    def url(domain, bad, i):
+        return f"http://{rng.choice('abc')}.{domain}/" + (f"{rng.randrange(10**8, 10**9)}/x/y?a=1&b={i}" if bad else f"{rng.choice(['news', 'about', 'home'])}{rng.choice('abcdefgh')}{rng.choice('abcdefgh')}")
+    labelled = [(url(d, i % 10 < share, i), int(i % 10 < share)) for d, share in (("one.com", 8), ("two.org", 2), ("three.net", 5)) for i in range(300)]
+    fresh = [(i, url(d, i % 2 == 0, i), None) for i, d in enumerate(["one.com", "two.org", "three.net", "new.edu"] * 10 + ["one.com"])]
+    judged = url_filter.judge(pages(spark, fresh), {"nowhere.example/": "block"}, spark.createDataFrame(labelled, "url string, label int")).collect()
+    assert {r.page_id: r.verdict for r in judged} == {i: "block" if i % 2 == 0 else "allow" for i, *_ in fresh}
+
+
+def tree_by_hand(examples, gradients, members, depth, allowed):
+    """The best split among all midpoints of all allowed features, by direct sums."""
+    g, h = (sum(gradients[i][k] for i in members) for k in (0, 1))
+    best, gain = None, 1e-6
+    for f in allowed if depth and len(members) > 1 else ():
+        values = sorted({x[f] for x, _, _ in examples})
+        for a, b in zip(values, values[1:], strict=False):
+            left = [i for i in members if examples[i][0][f] <= (a + b) / 2]
+            gl, hl = (sum(gradients[i][k] for i in left) for k in (0, 1))
+            new = gl**2 / (hl + url_filter.LAMBDA) + (g - gl) ** 2 / (h - hl + url_filter.LAMBDA) - g**2 / (h + url_filter.LAMBDA)
+            if min(hl, h - hl) >= 1e-3 and new > gain + 1e-12:
+                best, gain = (f, (a + b) / 2, left), new
+    if best is None:
+        return -url_filter.RATE * g / (h + url_filter.LAMBDA)
+    f, edge, left = best
+    return (f, edge, *(tree_by_hand(examples, gradients, side, depth - 1, allowed) for side in (left, [i for i in members if i not in left])))
+
+
+def flat(tree):
+    return [tree] if not isinstance(tree, tuple) else [tree[0], tree[1], *flat(tree[2]), *flat(tree[3])]
+
+
+def test_trees_equal_brute_force():
+    rng = random.Random(2)
+    examples = [(tuple(float(rng.randrange(6)) for _ in range(4)), n := rng.randint(1, 9), rng.randint(0, n)) for _ in range(60)]
+    base, trees = url_filter.boost(examples)
+    scores = [base] * len(examples)
+    for number, tree in enumerate(trees):
+        p = [1 / (1 + np.exp(-s)) for s in scores]
+        gradients = [(n * q - k, n * q * (1 - q)) for q, (_, n, k) in zip(p, examples, strict=True)]
+        assert flat(tree) == pytest.approx(flat(tree_by_hand(examples, gradients, range(len(examples)), url_filter.DEPTH, url_filter.seen(number, 4))))
+        scores = [s + url_filter._value(tree, x) for s, (x, _, _) in zip(scores, examples, strict=True)]
+
+
 def test_no_labels_no_rows_no_python(spark):
     judged = url_filter.judge(pages(spark, [(1, "http://a.com/", None)]), URL_RULES)
     assert [(r.score, r.verdict) for r in judged.collect()] == [(0.5, "allow")]

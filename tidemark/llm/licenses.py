@@ -1,10 +1,12 @@
 """License scans by a positional rare-token index.
 
 Each phrase of the base and each template's mandatory key phrase is posted under its rarest word, by
-inverse document frequency over all documents, with that word's position. Phrases are verified around
-this word and found at every place, whatever else the text holds. A template is aligned at every start
-that has its key phrase inside, and the alignment counts if the template's words at their relative
-positions cover enough of its weight.
+inverse document frequency over all documents, with that word's position; phrases are verified around
+this word and found at every place. Each template is posted under its rarest words too, with their
+positions: as many as together weigh more than what an accepted alignment may lack, so each such
+alignment has one of them in its place, whatever else the text holds. A text's occurrences of these
+words give the starts at which a template may stand; a start counts if the key phrase is inside and
+the template's words at their relative positions cover enough of its weight.
 
 Edge cases: a null or empty text has no word and no label, score 0; texts are read whole; repeated
 rows are scanned each; an empty table gives an empty result; further columns are not read.
@@ -13,6 +15,7 @@ rows are scanned each; an empty table gives an empty result; further columns are
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -43,6 +46,22 @@ TEMPLATES = [
     ("cc0", "cc0", "dedicated to the public domain under cc0 1 0"),
     ("unlicense", "released into the public domain", "this is free and unencumbered software released into the public domain"),
     ("isc", "permission to use copy modify and", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("mit", "merge publish distribute sublicense", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("mit", "this permission notice shall be included", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("bsd", "redistributions of source code must retain", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "used to endorse or promote products derived from this software", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("apache-2", "you may not use this file except in compliance with the license", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("gpl-2", "gnu general public license as published by the free software foundation either version 2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("gpl-3", "gnu general public license as published by the free software foundation either version 3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl", "gnu lesser general public license as published by the free software foundation", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("agpl", "gnu affero general public license as published by the free software foundation", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("mpl-2", "mozilla public license v 2 0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("zlib", "in no event will the authors be held liable", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("bsl-1", "boost software license", "distributed under the boost software license version 1 0"),
+    ("epl-2", "eclipse public license", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
+    ("cc0", "dedicated the work to the public domain", "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law"),
+    ("unlicense", "either in source code form or as a compiled binary", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
 ]
 #: Share of a template's weight that an alignment must cover.
 COVERED = 0.6
@@ -68,6 +87,15 @@ class Index:
         for phrase in dict.fromkeys(tuple(p) for p in (*(p for p, _ in self.base), *(p for _, p, _ in self.templates))):
             self.postings.setdefault(phrase[rarest(phrase)], []).append((phrase, rarest(phrase)))
         self.weights = [sum(self.idf[w] for w in text) for _, _, text in self.templates]
+        #: word -> (template, position), the rarest words of each template
+        self.rare: dict[bytes, list[tuple[int, int]]] = {}
+        for number, ((_, _, text), weight) in enumerate(zip(self.templates, self.weights, strict=True)):
+            spare = (1 - COVERED) * weight
+            for position in sorted(range(len(text)), key=lambda i: (-self.idf[text[i]], i)):
+                self.rare.setdefault(text[position], []).append((number, position))
+                spare -= self.idf[text[position]]
+                if spare < -1e-9 * weight:
+                    break
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, str]], list[tuple[str, int, float]]]:
         """(start, label) of every base phrase; (label, start, covered share) of every accepted alignment."""
@@ -81,11 +109,18 @@ class Index:
                     if at >= i and tuple(words[at - i : at - i + len(phrase)]) == phrase:
                         spots.setdefault(phrase, []).append(at - i)
         found = [(at, label) for phrase, label in self.base for at in spots.get(tuple(phrase), ())]
+        held = {number for number, (_, phrase, _) in enumerate(self.templates) if tuple(phrase) in spots}
+        starts: set[tuple[int, int]] = set()
+        if held:
+            rare = self.rare.keys() & set(words)
+            starts = {(number, at - position) for at, w in enumerate(words) if w in rare for number, position in self.rare[w] if number in held}
         accepted = []
-        for (label, phrase, text), weight in zip(self.templates, self.weights, strict=True):
-            spare = len(text) - len(phrase)
-            for start in {at - i for at in spots.get(tuple(phrase), ()) for i in range(spare + 1)}:
-                covered = sum(self.idf[w] for p, w in enumerate(text) if 0 <= start + p < len(words) and words[start + p] == w) / weight
+        for number, start in starts:
+            label, phrase, text = self.templates[number]
+            places = spots[tuple(phrase)]
+            i = bisect_left(places, max(0, start))
+            if i < len(places) and places[i] + len(phrase) <= start + len(text):
+                covered = sum(self.idf[w] for p, w in enumerate(text) if 0 <= start + p < len(words) and words[start + p] == w) / self.weights[number]
                 if covered >= COVERED:
                     accepted.append((label, max(0, start), covered))
         return sorted(found), sorted(accepted)

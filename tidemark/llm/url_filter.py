@@ -4,6 +4,9 @@ Rules, features, suffix statistics and scoring are DataFrame expressions; no Pyt
 executors. The trees are grown on the driver over a bounded sample of labelled URLs, pre-aggregated
 to distinct feature rows, and compiled into one expression.
 
+A suffix's rate of label 1 is taken, for each URL that is learned from, over the other folds only, and
+each tree sees a part of the features, so that no statistic of the labels decides alone.
+
 Edge cases: a null url or one without ``://`` has an empty host and path, fits no rule and is scored
 by its other features; without labelled URLs every score is 0.5 and the verdict allow; repeated rows
 are judged each; an empty table gives an empty result; further columns stay unread.
@@ -13,16 +16,19 @@ from __future__ import annotations
 
 import json
 import math
+import random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled URLs that are learned from, at most.
 TRAIN_ROWS = 20_000
-TREES, DEPTH, RATE, BINS, LAMBDA = 20, 3, 0.3, 16, 1.0
+TREES, DEPTH, RATE, BINS, LAMBDA = 24, 3, 0.3, 16, 1.0
+#: Folds for the rates of suffixes; share of the features that a tree sees.
+FOLDS, SEEN = 5, 0.6
 #: Labelled URLs that a suffix needs for its own statistic to weigh as much as the average.
 PRIOR = 20.0
-FEATURES = ["url_length", "host_length", "path_length", "depth", "host_labels", "digit_ratio", "host_entropy", "parameters", "hyphens", "fragment", "suffix_rate"]
+FEATURES = ["url_length", "host_length", "path_length", "depth", "host_labels", "digit_ratio", "host_entropy", "parameters", "hyphens", "fragment", "suffix_rate", "suffix_count"]
 
 _upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -90,14 +96,20 @@ def lexical(urls: DataFrame, url: str = "url") -> DataFrame:
     })
 
 
-def _grow(rows: list[tuple], edges: list[list[float]], gradients: list[tuple[float, float]], members: list[int], depth: int) -> tuple | float:
+def seen(tree: int, features: int) -> list[int]:
+    """The features that a tree may use, ascending; the same in every run."""
+    return sorted(random.Random(tree).sample(range(features), max(1, math.ceil(SEEN * features))))
+
+
+def _grow(rows: list[tuple], edges: list[list[float]], gradients: list[tuple[float, float]], members: list[int], depth: int, allowed: list[int]) -> tuple | float:
     """A tree: (feature, edge, left, right), left if the feature is at most the edge, or a leaf's value."""
     g, h = (sum(gradients[i][k] for i in members) for k in (0, 1))
     leaf = -RATE * g / (h + LAMBDA)
     if depth == 0 or len(members) < 2:
         return leaf
     best, gain = None, 1e-6
-    for f, cuts in enumerate(edges):
+    for f in allowed:
+        cuts = edges[f]
         sums = [[0.0, 0.0] for _ in range(len(cuts) + 1)]
         for i in members:
             s = sums[rows[i][f]]
@@ -115,7 +127,7 @@ def _grow(rows: list[tuple], edges: list[list[float]], gradients: list[tuple[flo
         return leaf
     f, b = best
     sides = [[i for i in members if (rows[i][f] <= b) == left] for left in (True, False)]
-    return f, edges[f][b], *(_grow(rows, edges, gradients, side, depth - 1) for side in sides)
+    return f, edges[f][b], *(_grow(rows, edges, gradients, side, depth - 1, allowed) for side in sides)
 
 
 def boost(examples: list[tuple[tuple[float, ...], int, int]]) -> tuple[float, list]:
@@ -129,12 +141,12 @@ def boost(examples: list[tuple[tuple[float, ...], int, int]]) -> tuple[float, li
         edges.append([(a + b) / 2 for a, b in zip(values, values[1:], strict=False)][::step])
     binned = [tuple(sum(v > e for e in cuts) for v, cuts in zip(x, edges, strict=True)) for x, _, _ in examples]
     scores, trees = [base] * len(examples), []
-    for _ in range(TREES):
+    for number in range(TREES):
         gradients = []
         for s, (_, n, k) in zip(scores, examples, strict=True):
             p = 1 / (1 + math.exp(-s))
             gradients.append((n * p - k, n * p * (1 - p)))
-        tree = _grow(binned, edges, gradients, list(range(len(examples))), DEPTH)
+        tree = _grow(binned, edges, gradients, list(range(len(examples))), DEPTH, seen(number, len(edges)))
         trees.append(tree)
         scores = [s + _value(tree, x) for s, (x, _, _) in zip(scores, examples, strict=True)]
     return base, trees
@@ -169,26 +181,36 @@ class Filter:
     def __init__(self, labelled: DataFrame, rows: int = TRAIN_ROWS) -> None:
         usable = labelled.filter(F.col("url").isNotNull() & F.col("label").isin(0, 1)).groupBy("url").agg(F.max("label").alias("label"))
         sample = lexical(usable.orderBy(F.xxhash64("url"), "url").limit(rows))
-        known = sample.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("k")).collect()  # at most `rows` suffixes
+        sample = sample.withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int"))
+        known = sample.groupBy("suffix", "fold").agg(F.count("*").alias("n"), F.sum("label").alias("k")).collect()  # FOLDS * `rows` at most
         total, ones = sum(r["n"] for r in known), sum(r["k"] for r in known)
         self.mean = ones / total if total else 0.5
-        self.rates = {r["suffix"]: round((r["k"] + PRIOR * self.mean) / (r["n"] + PRIOR), 4) for r in known}
+        sums: dict[str, dict[int, tuple[int, int]]] = {}
+        for r in known:
+            sums.setdefault(r["suffix"], {})[r["fold"]] = r["n"], r["k"]
+        # fold -> what the other folds say; FOLDS: what all say, for URLs that were not learned from
+        self.known = []
+        for suffix, folds in sorted(sums.items()):
+            n, k = (sum(x[i] for x in folds.values()) for i in (0, 1))
+            for fold in (*sorted(folds), FOLDS):
+                own_n, own_k = folds.get(fold, (0, 0))
+                rate = (k - own_k + PRIOR * self.mean) / (n - own_n + PRIOR)
+                self.known.append({"suffix": suffix, "fold": fold, "rate": round(rate, 4), "size": round(math.log2(1 + n), 1)})
         cells = self.features(sample).groupBy(FEATURES).agg(F.count("*").alias("n"), F.sum("label").alias("k")).orderBy(FEATURES).collect()  # at most `rows`
         self.model = boost([(tuple(float(c[f]) for f in FEATURES), c["n"], c["k"]) for c in cells]) if 0 < ones < total else None
 
     def features(self, parts: DataFrame) -> DataFrame:
-        """Add the suffix statistic to ``lexical`` columns; the table of suffixes is bounded by the sample."""
+        """Add the suffix statistics to ``lexical`` columns and fold; their table is bounded by the sample."""
         spark = parts.sparkSession
-        if not self.rates:
-            return parts.withColumn("suffix_rate", F.lit(self.mean))
-        rates = json.dumps([{"suffix": s, "rate": self.rates[s]} for s in sorted(self.rates)])
-        table = spark.range(1).select(F.inline(F.from_json(F.lit(rates), "array<struct<suffix: string, rate: double>>")))
-        return parts.join(F.broadcast(table), "suffix", "left").withColumn("suffix_rate", F.coalesce("rate", F.lit(self.mean))).drop("rate")
+        table = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(self.known)), "array<struct<suffix: string, fold: int, rate: double, size: double>>")))
+        joined = parts.join(F.broadcast(table), ["suffix", "fold"], "left")
+        return joined.withColumns({"suffix_rate": F.coalesce("rate", F.lit(self.mean)), "suffix_count": F.coalesce("size", F.lit(0.0))}).drop("rate", "size", "fold")
 
     def score(self, urls: DataFrame) -> DataFrame:
         """``urls`` with host, path, the features and score, the probability of label 1."""
-        clash = [c for c in urls.columns if c in {*FEATURES, "host", "path", "suffix", "score", "rate"}]
-        return self.features(lexical(urls.drop(*clash))).withColumn("score", compiled(self.model))
+        own = {*FEATURES, "host", "path", "suffix", "score", "rate", "size", "fold"}
+        clash = [c for c in urls.columns if c.lower() in own]
+        return self.features(lexical(urls.drop(*clash)).withColumn("fold", F.lit(FOLDS))).withColumn("score", compiled(self.model))
 
 
 def judge(pages: DataFrame, rules: dict[str, str], labelled: DataFrame | None = None, *, rows: int = TRAIN_ROWS) -> DataFrame:
