@@ -1,10 +1,14 @@
+import io
 import json
 import logging
+import random
+import urllib.error
 
 import numpy as np
 import pytest
 import yaml
 from conf import changed
+from pyspark.sql import functions as F
 
 from tidemark import config, identity, provenance, seeds
 from tidemark.sources import store
@@ -73,7 +77,7 @@ def test_universe_identity(tmp_path):
     assert identity.next_version(["A"], sectors, path) == 1
     u = identity.FrozenUniverse("u", 1, "2020-01-01", ("B", "A", "C"), sectors)
     identity.write(u, path)
-    assert (u.n_pairs, u.same_sector_pairs(), list(u.sector_counts())) == (3, 1, ["x", "y"])
+    assert (u.pairs(), u.pairs(within_sectors=True), u.by_sector) == (3, 1, {"x": ["B", "C"], "y": ["A"]})
     assert identity.next_version(["C", "B", "A"], sectors, path) == 1
     assert identity.next_version(["A", "B"], {k: sectors[k] for k in "AB"}, path) == 2
     assert u.hash in path.read_text()
@@ -93,28 +97,41 @@ def test_streams():
     for bad in (-1, 1.5, "x", True):
         with pytest.raises(ValueError):
             seeds.stream(bad, "x")
-    assert seeds.report(7, ["a", "b"]) == seeds.report(7, ["a", "b"])
-    seeds.seed_process(1)
+    assert seeds.fingerprints(7, ["a", "b"]) == seeds.fingerprints(7, ["b", "a"]) and len(set(seeds.fingerprints(7, "abc").values())) == 3
+    assert "numpy.random" in seeds.seed_globally(1)
     before = np.random.get_state()[1].copy()
-    with seeds.temporary(99):
-        first = np.random.rand()
+    with seeds.seeded(99):
+        first = np.random.rand(), random.random()
     assert (np.random.get_state()[1] == before).all()
-    with seeds.temporary(99):
-        assert np.random.rand() == first
+    with pytest.raises(KeyError), seeds.seeded(99):
+        assert (np.random.rand(), random.random()) == first
+        raise KeyError
+    assert (np.random.get_state()[1] == before).all()
+
+
+def test_uniform_column_does_not_depend_on_partitions(spark):
+    draw = lambda n, label="a": {r.id: r.u for r in spark.range(0, 500, 1, n).select("id", seeds.uniform(7, label, F.col("id")).alias("u")).collect()}
+    assert draw(1) == draw(7) != draw(1, "b")
+    assert all(0 <= u < 1 for u in draw(2).values()) and 0.4 < np.mean(list(draw(2).values())) < 0.6
 
 
-def test_provenance(tmp_path, monkeypatch):
-    run = provenance.capture(config.Config(changed()))
-    data = json.loads(run.write(tmp_path / "run.json").read_text())
-    assert data["config_hash"] in data["run_id"] and data["packages"]["pyspark"] != "not installed"
-    monkeypatch.setenv(provenance.DATA_ENV, str(tmp_path))
+def test_provenance(spark, tmp_path, monkeypatch):
+    document = provenance.describe(spark, config.Config(changed()))
+    data = json.loads(provenance.keep(document, tmp_path / "run.json").read_text())
+    assert data["run"].endswith(data["configuration"]["hash"]) and data["packages"]["pyspark"]
+    assert data["session"]["settings"]["spark.sql.session.timeZone"] == "UTC" and data["session"]["master"] == "local[4]"
+    monkeypatch.setenv(provenance.FOLDERS["root"], str(tmp_path))  # no repository there
+    assert "error" in provenance.describe()["code"]
+    assert provenance.folder("data") == tmp_path / "data"
+    monkeypatch.setenv(provenance.FOLDERS["data"], str(tmp_path))
     assert provenance.folder("data") == tmp_path
     log = provenance.log_to("t", file=tmp_path / "t.log")
     assert provenance.log_to("t", file=tmp_path / "t.log") is log and len(log.handlers) == 2
     log.warning("here")
     assert "here" in (tmp_path / "t.log").read_text()
     logging.getLogger("t").handlers.clear()
-    assert all(ok for _, ok, _ in provenance.health({"pyspark": ""}))
+    assert all(ok for _, ok, _ in provenance.health())
+    assert [r for r in provenance.health(changed()) if not r[1]] == [("costs.short_leg", False, "not decided")]
 
 
 # --- manifest and acquisition --------------------------------------------------------------------
@@ -127,12 +144,13 @@ def test_provenance(tmp_path, monkeypatch):
         ({"requested_end": "2020-12-31", "last_date": "2020-03-01", "requested_start": "2020-01-15"}, True),
     ],
 )
-def test_covers(record, expected):
+def test_covers(spark, tmp_path, record, expected):
     base = {"symbol": "A", "status": "ok", "rows": 10, "last_date": "2020-12-30", "requested_start": "2020-01-01", "requested_end": "2020-06-30"}
-    assert store.Record(**base | record).covers("2020-01-15", "2020-12-31") is expected
+    m = store.Manifest(tmp_path / "m.json", records={"A": store.Record(**base | record)})
+    assert m.pending(spark, ["A"], "2020-01-15", "2020-12-31") == ([] if expected else ["A"])
 
 
-def test_manifest_round_trip(tmp_path):
+def test_manifest_round_trip(spark, tmp_path):
     m = store.Manifest.load(tmp_path / "m.json", "test")
     m.success("B", 10, "2020-01-01", "2020-12-31", "2020-01-01", "2020-12-31")
     m.success("A", 0, None, None, "2020-01-01", "2020-12-31")
@@ -141,7 +159,7 @@ def test_manifest_round_trip(tmp_path):
     back = store.Manifest.load(tmp_path / "m.json")
     assert list(back.records) == ["A", "B", "C"] and len(back.records["C"].error) == 500
     assert [back.with_status(s) for s in ("completed", "empty", "failed")] == [["B"], ["A"], ["C"]]
-    assert back.pending(["C", "B", "A", "D"], "2020-01-01", "2020-12-31") == ["C", "A", "D"]
+    assert back.pending(spark, ["C", "B", "A", "D"], "2020-01-01", "2020-12-31") == ["C", "A", "D"]
     assert back.summary() == {"total": 3, "rows": 10, "ok": 1, "empty": 1, "failed": 1}
 
 
@@ -161,19 +179,42 @@ def test_retry_and_rate():
             raise store.RetryableError("later")
         return "done"
 
-    assert store.Retry(attempts=4, base=1, growth=10, longest=5).call(flaky, sleep=waits.append) == ("done", 3)
-    assert all(0 <= w <= limit for w, limit in zip(waits, (1, 5), strict=True))
+    assert store.persist(flaky, [1.0, 2.0, 3.0], sleep=waits.append) == ("done", 3) and waits == [1.0, 2.0]
+    drawn = list(store.pauses(4, base=1, growth=10, longest=5))
+    assert len(drawn) == 4 and all(0 <= w <= limit for w, limit in zip(drawn, (1, 5, 5, 5), strict=True))
     with pytest.raises(store.SourceError, match="after 2"):
-        store.Retry(attempts=2).call(lambda: 1 / 0, sleep=waits.append)
+        store.persist(lambda: 1 / 0, [0.0], sleep=waits.append)
     with pytest.raises(PermissionError):
-        store.Retry().call(lambda: store.answer(403, b""), give_up=(PermissionError,), sleep=waits.append)
+        store.persist(lambda: store.answer(403, b""), final=(PermissionError,), sleep=waits.append)
     for status, body, error in ((429, b"x", store.RetryableError), (404, b"x", store.SourceError), (200, b"", store.SourceError)):
         with pytest.raises(error):
             store.answer(status, body)
     now = [0.0]
-    limiter = store.RateLimiter(0.3, 0.0, lambda: now[0], lambda s: now.__setitem__(0, now[0] + s))
-    limiter.wait()
-    assert limiter.wait() == pytest.approx(0.3)
+    pace = store.Pace(0.3, 0.0, lambda: now[0])
+    assert [pace.reserve() for _ in range(3)] == pytest.approx([0.0, 0.3, 0.6])
+    now[0] = 5.0
+    assert pace.reserve() == 0.0
+
+
+def test_get_maps_what_the_server_says():
+    def opener(reply):
+        def open_(request, timeout):
+            assert request.get_header("X-a") == "b"
+            if isinstance(reply, Exception):
+                raise reply
+            return reply
+
+        return open_
+
+    class Reply(io.BytesIO):
+        status = 200
+
+    said = lambda code: urllib.error.HTTPError("http://x", code, "", {}, None)
+    get = lambda reply: store.get("http://x/", headers={"X-a": "b"}, opener=opener(reply))
+    assert get(Reply(b"body")) == b"body"
+    for reply, error in ((Reply(b""), store.SourceError), (said(503), store.RetryableError), (said(401), PermissionError), (said(404), store.SourceError), (urllib.error.URLError("down"), store.RetryableError)):
+        with pytest.raises(error):
+            get(reply)
 
 
 def test_acquire_resumes_and_isolates_failures(spark, tmp_path):
@@ -183,15 +224,18 @@ def test_acquire_resumes_and_isolates_failures(spark, tmp_path):
         asked.append(symbol)
         if symbol == "BAD":
             raise store.RetryableError("down")
+        if symbol == "ODD":
+            return spark.range(1)
         rows = [] if symbol == "NONE" else [(symbol, "2020-01-01"), (symbol, "2020-12-30")]
         return spark.createDataFrame(rows, "symbol string, date string").selectExpr("symbol", "cast(date as date) as date")
 
     m = store.Manifest.load(tmp_path / "m.json")
-    run = lambda **more: store.acquire(spark, ["A", "BAD", "A", "NONE", "B"], fetch, str(tmp_path / "raw"), m, "2020-01-01", "2020-12-31", retry=store.Retry(attempts=2), sleep=lambda s: None, **more)
+    run = lambda **more: store.acquire(spark, ["A", "BAD", "A", "NONE", "ODD", "B"], fetch, str(tmp_path / "raw"), m, "2020-01-01", "2020-12-31", waits=lambda: [0.0], sleep=lambda s: None, **more)
     out = run()
-    assert out["ok"] == ["A", "B"] and out["failed"] == ["BAD", "NONE"] and out["short"] == ["A", "B"]
-    assert asked == ["A", "BAD", "BAD", "NONE", "B"] and m.records["NONE"].attempts == 1
+    assert out["ok"] == ["A", "B"] and out["failed"] == ["BAD", "NONE", "ODD"] and out["short"] == ["A", "B"]
+    assert asked == ["A", "BAD", "BAD", "NONE", "ODD", "B"] and [m.records[s].attempts for s in ("NONE", "BAD", "ODD")] == [1, 2, 1]
+    assert len(m.records["A"].digest) == 16 and m.records["A"].digest != m.records["B"].digest and not (tmp_path / "raw" / "NONE").exists()
     asked.clear()
-    assert run()["skipped"] == ["A", "B"] and asked == ["BAD", "BAD", "NONE"]
+    assert run()["skipped"] == ["A", "B"] and asked == ["BAD", "BAD", "NONE", "ODD"]
     assert [s for s, _ in store.iter_raw(spark, str(tmp_path / "raw"), m)] == ["A", "B"]
     assert run(refresh=True)["skipped"] == []
