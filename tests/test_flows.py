@@ -25,7 +25,8 @@ def test_quality_report_and_universe(spark, tmp_path):
     assert not meta["usable"] and meta["counts"]["invalid_prices"]["FATAL"] >= 1 and meta["counts"]["zero_volume"]["WARN"] >= 900
 
     frozen = flows.build_universe(raw, sectors, config, str(tmp_path / "universe"))
-    assert frozen.symbols == ("S1", "S2", "S3") and frozen.version == 1 and frozen.same_sector_pairs() == 1
+    assert frozen.symbols == ("S1", "S2", "S3") and frozen.version == 1 and frozen.pairs(within_sectors=True) == 1
+    assert "S3" in (summary := (tmp_path / "universe" / "summary.md").read_text()).split("one member")[1] and "Most missing" in summary
     assert identity.read(tmp_path / "universe" / "universe.yaml")["sectors"] == {"S1": "x", "S2": "x", "S3": "y"}
     assert json.loads((tmp_path / "universe" / "meta.json").read_text())["universe_hash"] == frozen.hash
     again = flows.build_universe(raw, sectors, config, str(tmp_path / "universe"), dry_run=True)

@@ -358,6 +358,12 @@ def test_checkpoints():
 # --- manifest as a table -------------------------------------------------------------------------
 
 
+def test_calendar_without_volume_counts_observed_bars(spark):
+    rows = [("A", date(2020, 1, 1), 1.0), ("A", date(2020, 1, 2), None), ("A", date(2020, 1, 3), 1.0), ("B", date(2020, 1, 1), 1.0), ("B", date(2020, 1, 3), 2.0)]
+    days = cal.participation(spark.createDataFrame(rows, "symbol string, date date, close double")).orderBy("date").collect()
+    assert [(d.n_observed, d.n_traded, d.n_listed, d.is_session) for d in days] == [(2, 2, 2, True), (0, 0, 2, False), (2, 2, 2, True)]
+
+
 def test_manifest_table(spark):
     rows = [("A", 1, "failed", 0, None), ("A", 2, "ok", 9, "2020-12-28"), ("B", 1, "ok", 9, "2020-12-01"), ("C", 1, "ok", 0, "2020-12-30")]
     df = spark.createDataFrame(rows, "symbol string, seq int, status string, rows long, last string").selectExpr("*", "date'2019-12-01' as start", "date'2020-11-30' as end", "cast(last as date) as last_date")

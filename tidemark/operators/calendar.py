@@ -27,9 +27,11 @@ def participation(bars: DataFrame, *, quorum: float = QUORUM, padding: float = P
     """A row a date: bars observed, traded (volume above zero), symbols listed, padded and session flags.
 
     The listed count is the starts up to a date less the ends before it, so no grid of dates and
-    symbols is formed. A date is padded if almost no listed symbol traded.
+    symbols is formed. A date is padded if almost no listed symbol traded. Bars without a volume column
+    count as traded where they are observed.
     """
-    per_date = bars.groupBy("date").agg(F.count("close").alias("n_observed"), F.count_if(F.coalesce(F.col("volume"), F.lit(0.0)) > 0).alias("n_traded"))
+    traded = F.coalesce(F.col("volume"), F.lit(0.0)) > 0 if "volume" in bars.columns else F.col("close").isNotNull()
+    per_date = bars.groupBy("date").agg(F.count("close").alias("n_observed"), F.count_if(traded).alias("n_traded"))
     span = listed_span(bars)
     starts = span.groupBy(F.col("first").alias("date")).agg(F.count("*").alias("n_started"))
     ends = span.groupBy(F.col("last").alias("date")).agg(F.count("*").alias("n_ended"))

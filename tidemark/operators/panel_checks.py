@@ -79,8 +79,9 @@ def low_coverage(metrics: DataFrame, least: float = 0.95) -> DataFrame:
 def _apart(a: DataFrame, b: DataFrame, severity: str, detail: str, shown: int = 10) -> DataFrame:
     """One issue for the symbols of ``a`` that ``b`` lacks, naming the first few."""
     only = a.select("symbol").distinct().join(b.select("symbol").distinct(), "symbol", "left_anti")
-    first = F.array_join(F.slice(F.array_sort(F.collect_list("symbol")), 1, shown), " ")
-    per = only.agg(F.count("*").alias("n"), first.alias("names")).filter("n > 0")
+    named = only.orderBy("symbol").limit(shown).select(F.lit(0).alias("one"), F.col("symbol").alias("name"))
+    both = only.select(F.lit(1).alias("one"), F.lit(None).cast("string").alias("name")).unionByName(named)
+    per = both.agg(F.sum("one").alias("n"), F.array_join(F.array_sort(F.collect_list("name")), " ").alias("names")).filter("n > 0")
     return issue(per, "ticker_consistency", severity, symbol=F.lit(None).cast("string"), detail=F.concat(F.lit(detail + ": "), F.col("names")), n=F.col("n"))
 
 

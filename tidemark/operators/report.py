@@ -28,10 +28,14 @@ def lowest_coverage(metrics: DataFrame, n: int = 10) -> DataFrame:
 
 
 def capped(issues: DataFrame, n: int = 25) -> DataFrame:
-    """The first ``n`` issues of each severity and check, and how many more there are."""
-    group = Window.partitionBy("severity", "check")
-    order = group.orderBy(F.col("symbol").asc_nulls_first(), F.col("date").asc_nulls_first(), "detail", "n_affected")
-    return issues.withColumns({"rank": F.row_number().over(order), "more": F.greatest(F.count("*").over(group) - n, F.lit(0))}).filter(F.col("rank") <= n)
+    """The first ``n`` issues of each severity and check, and how many more there are.
+
+    The rank is the window's only use, so Spark keeps ``n`` rows of a group on each side of its shuffle.
+    """
+    order = Window.partitionBy("severity", "check").orderBy(F.col("symbol").asc_nulls_first(), F.col("date").asc_nulls_first(), "detail", "n_affected")
+    first = issues.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+    sizes = issues.groupBy("severity", "check").agg(F.greatest(F.count("*") - n, F.lit(0)).alias("more"))
+    return first.join(F.broadcast(sizes), ["severity", "check"])  # a row a check and severity
 
 
 def flag_totals(issues: DataFrame) -> DataFrame:

@@ -18,11 +18,11 @@ ISSUE = ["check", "severity", "symbol", "date", "detail", "value", "n_affected"]
 PRICES = ["open", "high", "low", "close", "adj_close"]
 
 
-def issue(df: DataFrame, check: str, severity: str | Column, *, detail: str | Column = "", date: Column | None = None, value: Column | None = None, n: Column | None = None, symbol: Column | None = None) -> DataFrame:
+def issue(df: DataFrame, check: str | Column, severity: str | Column, *, detail: str | Column = "", date: Column | None = None, value: Column | None = None, n: Column | None = None, symbol: Column | None = None) -> DataFrame:
     """Rows of the common issue shape."""
     text = lambda x: F.lit(x) if isinstance(x, str) else x
     return df.select(
-        F.lit(check).alias("check"), text(severity).alias("severity"), (F.col("symbol") if symbol is None else symbol).alias("symbol"),
+        text(check).alias("check"), text(severity).alias("severity"), (F.col("symbol") if symbol is None else symbol).alias("symbol"),
         (F.lit(None) if date is None else date).cast("date").alias("date"), text(detail).cast("string").alias("detail"),
         (F.lit(None) if value is None else value).cast("double").alias("value"), (F.lit(1) if n is None else n).cast("long").alias("n_affected"),
     )
@@ -50,36 +50,45 @@ def order(bars: DataFrame, arrival: str | Column = "ingest_seq") -> DataFrame:
     return issue(bars.withColumn("back", back).groupBy("symbol").agg(F.bool_or("back").alias("back")).filter("back"), "chronological_order", FATAL)
 
 
-def _counted(bars: DataFrame, conditions: dict[str, Column], **more: Column) -> DataFrame:
-    """(symbol, detail, n, date) for each named condition that some row of a symbol meets, in one pass."""
-    counts = [F.struct(F.lit(k).alias("detail"), F.count_if(c).alias("n"), F.min(F.when(c, F.col("date"))).alias("date")) for k, c in conditions.items()]
-    per = bars.groupBy("symbol").agg(F.count("*").alias("n_rows"), F.array(*counts).alias("all"), *[c.alias(k) for k, c in more.items()])
-    return per.select("symbol", "n_rows", F.inline("all"), *more).filter("n > 0")
+def row_checks(bars: DataFrame, share: float = 0.02, kinds: tuple[str, ...] = ("missing_values", "invalid_prices", "zero_volume")) -> DataFrame:
+    """What a row alone shows, all in one pass: missing values, impossible prices, bars without volume.
+
+    Prices at or below zero, high below low and negative volume are fatal, close and open outside low and
+    high a warning; so are bars without volume above ``share`` of a symbol's bars.
+    """
+    prices = [c for c in PRICES if c in bars.columns]
+    outside = lambda c: (F.col(c) < F.col("low")) | (F.col(c) > F.col("high"))
+    tests = [("missing_values", WARN, c, F.col(c).isNull()) for c in [*prices, *(["volume"] if "volume" in bars.columns else [])]]
+    tests += [("invalid_prices", FATAL, c, F.col(c) <= 0) for c in prices]
+    tests += [("invalid_prices", FATAL, "high below low", F.col("high") < F.col("low")), ("invalid_prices", FATAL, "negative volume", F.col("volume") < 0)]
+    tests += [("invalid_prices", WARN, f"{c} outside range", outside(c)) for c in ("close", "open")]
+    tests += [("zero_volume", INFO, "share", _no_volume())]
+    found = [
+        F.struct(F.lit(check).alias("check"), F.lit(severity).alias("severity"), F.lit(detail).alias("detail"), F.count_if(met).alias("n"), F.min(F.when(met, F.col("date"))).alias("first"))
+        for check, severity, detail, met in tests if check in kinds
+    ]
+    per = bars.groupBy("symbol").agg(F.count("*").alias("n_rows"), F.array(*found).alias("all")).select("symbol", "n_rows", F.inline("all")).filter("n > 0")
+    part = F.when(F.col("check") == "zero_volume", ratio(F.col("n"), F.col("n_rows")))
+    severity = F.when(part > F.lit(share), WARN).otherwise(F.col("severity"))
+    return issue(per, F.col("check"), severity, detail=F.col("detail"), date=F.when(F.col("check") == "invalid_prices", F.col("first")), value=part, n=F.col("n"))
 
 
 def missing(bars: DataFrame) -> DataFrame:
-    columns = [c for c in [*PRICES, "volume"] if c in bars.columns]
-    return issue(_counted(bars, {c: F.col(c).isNull() for c in columns}), "missing_values", WARN, detail=F.col("detail"), n=F.col("n"))
+    return row_checks(bars, kinds=("missing_values",))
 
 
 def invalid_prices(bars: DataFrame) -> DataFrame:
     """Prices at or below zero, high below low, negative volume; close and open outside low and high."""
-    prices = {c: F.col(c) <= 0 for c in PRICES if c in bars.columns}
-    fatal = prices | {"high below low": F.col("high") < F.col("low"), "negative volume": F.col("volume") < 0}
-    outside = lambda c: (F.col(c) < F.col("low")) | (F.col(c) > F.col("high"))
-    warn = {"close outside range": outside("close"), "open outside range": outside("open")}
-    parts = [issue(_counted(bars, c), "invalid_prices", s, detail=F.col("detail"), date=F.col("date"), n=F.col("n")) for c, s in ((fatal, FATAL), (warn, WARN))]
-    return union(parts)
-
-
-def _no_volume() -> Column:
-    return F.coalesce(F.col("volume"), F.lit(0.0)) <= 0
+    return row_checks(bars, kinds=("invalid_prices",))
 
 
 def zero_volume(bars: DataFrame, share: float = 0.02) -> DataFrame:
     """Bars without volume; a warning above ``share`` of a symbol's bars."""
-    per = _counted(bars, {"share": _no_volume()}).withColumn("share", ratio(F.col("n"), F.col("n_rows")))
-    return issue(per, "zero_volume", F.when(F.col("share") > F.lit(share), WARN).otherwise(INFO), detail=F.col("detail"), value=F.col("share"), n=F.col("n"))
+    return row_checks(bars, share, ("zero_volume",))
+
+
+def _no_volume() -> Column:
+    return F.coalesce(F.col("volume"), F.lit(0.0)) <= 0
 
 
 def zero_runs(bars: DataFrame, longer_than: int = 3) -> DataFrame:
@@ -139,7 +148,7 @@ def check_tickers(bars: DataFrame, stress: DataFrame, requested: DataFrame | Non
     """All checks of this module as one table of issues."""
     bars = coerced(bars)
     parts = [
-        duplicates(bars), order(bars, arrival), missing(bars), invalid_prices(bars), zero_volume(bars, zero_share), zero_runs(bars, zero_run),
+        duplicates(bars), order(bars, arrival), row_checks(bars, zero_share), zero_runs(bars, zero_run),
         stale(bars, stale_run), extreme_moves(bars, stress, move=move, severe=severe, window=action_window, wide=wide),
     ]
     return union(parts + ([no_rows(requested, bars)] if requested is not None else []))

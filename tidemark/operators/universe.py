@@ -197,6 +197,16 @@ def coverage_stats(rows: DataFrame, lookback: int = 252) -> DataFrame:
     )
 
 
+def singleton_sectors(members: DataFrame) -> DataFrame:
+    """Sectors with one member, which form no pair."""
+    return members.groupBy("sector").agg(F.count("*").alias("n"), F.min("symbol").alias("symbol")).filter("n = 1").select("sector", "symbol").orderBy("sector")
+
+
+def most_missing(rows: DataFrame, n: int = 8) -> DataFrame:
+    """The rows with the largest missing shares."""
+    return rows.select("symbol", "missing_frac").orderBy(F.desc("missing_frac"), "symbol").limit(n)
+
+
 def expected_false_positives(members: DataFrame, level: float = 0.05) -> DataFrame:
     """Pairs of a sector that a test at ``level`` passes by chance."""
     from tidemark.operators.candidates import same_sector_pairs

@@ -342,7 +342,7 @@ def consistency(spark: SparkSession, d: str) -> DataFrame:
 def _all_issues(spark: SparkSession, d: str) -> DataFrame:
     defective = materialize(_defective(spark, d), "defective")
     b, days = _panel(spark, d)
-    parts = [tick.missing(defective), tick.invalid_prices(defective), tick.zero_volume(defective, 0.22), tick.zero_runs(_raw(spark, d), 3), panel_checks.phantom(days, PHANTOM), panel_checks.gaps(b, days, GAP)]
+    parts = [tick.row_checks(defective, 0.22), tick.zero_runs(_raw(spark, d), 3), panel_checks.phantom(days, PHANTOM), panel_checks.gaps(b, days, GAP)]
     return tick.union(parts)
 
 
