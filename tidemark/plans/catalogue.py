@@ -495,11 +495,18 @@ _feature("leak_bfill", lambda df: features.leak_backfill(df, F.dayofmonth("date"
 _feature("weekly_mean", lambda df: features.weekly(df.withColumn("x", F.floor(F.col("x") * 100 + 0.5).cast("double"))))
 
 
+#: Features of a pair of symbols and the one that fills holes, beside those of a panel.
+_OTHERS = {
+    "hedge_ratio": lambda df: features.rolling_beta(_pair(df)), "fixed_beta": lambda df: features.fixed_beta(_pair(df)),
+    "full_beta": lambda df: features.leak_full_beta(_pair(df)), "backfill": lambda df: features.leak_backfill(df, F.dayofmonth("date") % 5 == 0),
+}
+
+
 @query
 def causality_report(spark: SparkSession, d: str) -> DataFrame:
-    """Each causal and leaky feature, recomputed on histories cut at three dates."""
+    """Each causal and leaky feature, recomputed on histories cut at three dates (``check`` cuts at seven shares)."""
     x = materialize(_x(spark, d), "x")
-    parts = [causality.summary(f, x, CUTS).withColumn("feature", F.lit(n)) for n, f in {**features.CAUSAL, **features.LEAKY}.items()]
+    parts = [causality.summary(f, x, CUTS).withColumn("feature", F.lit(n)) for n, f in {**features.CAUSAL, **features.LEAKY, **_OTHERS}.items()]
     return reduce(DataFrame.unionByName, parts).select("feature", "checkpoint", "n_compared", "n_bad", "passed")
 
 

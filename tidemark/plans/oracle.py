@@ -205,6 +205,36 @@ PARTS |= {
 }
 
 
+#: Features of the detector's report, the statements of their values, and the dates of its cuts.
+DETECTED = {
+    "trailing_mean": "feat_trailing_mean", "trailing_mean_lag1": "feat_trailing_mean_lag1", "zscore": "feat_zscore", "expanding_mean": "feat_expanding_mean",
+    "lagged_return": "feat_lagged_return", "several": "feat_multi", "hedge_ratio": "feat_hedge_ratio", "fixed_beta": "feat_fixed_beta", "full_zscore": "leak_full_zscore",
+    "centred": "leak_centered", "next": "leak_next", "minmax": "leak_minmax", "full_beta": "leak_full_beta", "future_max": "leak_future_max", "backfill": "leak_bfill",
+}
+CUTS = ("1997-01-01", "1999-01-01", "2000-06-01")
+
+
+def _detection() -> str:
+    """Every feature over all rows and over those up to each cut, compared cell by cell."""
+    parts = []
+    for feature, name in DETECTED.items():
+        whole = re.sub(r"round\((.*?), 6\) AS", r"(\1) AS", STATEMENTS[name], flags=re.DOTALL)
+        columns = re.findall(r"(?:\) AS|CAST\(sign\(r\) AS DOUBLE\) AS) (\w+)(?=,| FROM|\s+FROM)", whole.partition(" FROM ")[0] + " FROM")
+        for cut in CUTS:
+            until = re.sub(r"\bFROM (x|pair)\b", rf"FROM (SELECT * FROM \1 WHERE date <= DATE '{cut}') \1", whole)
+            for c in columns:
+                alike = f"f.{c} IS NOT DISTINCT FROM c.{c} OR coalesce(abs(f.{c} - c.{c}) <= 1e-12 + 1e-9 * abs(c.{c}), false)"
+                parts.append(
+                    f"SELECT '{feature}' AS feature, DATE '{cut}' AS checkpoint, count(*) FILTER (WHERE f.symbol IS NOT NULL AND c.symbol IS NOT NULL) AS compared, count(*) FILTER (WHERE f.symbol IS NULL OR c.symbol IS NULL OR NOT ({alike})) AS bad"
+                    f" FROM (SELECT * FROM ({whole}) WHERE date <= DATE '{cut}') f FULL JOIN ({until}) c ON f.symbol = c.symbol AND f.date = c.date"
+                )
+    summed = "SELECT feature, checkpoint, CAST(sum(compared) AS BIGINT) AS n_compared, CAST(sum(bad) AS BIGINT) AS n_bad, sum(bad) = 0 AND sum(compared) > 0 AS passed"
+    return f"{summed} FROM ({' UNION ALL '.join(parts)}) GROUP BY feature, checkpoint"
+
+
+STATEMENTS["causality_report"] = _detection()
+
+
 def _rounding(sql: str) -> str:
     """round(x, 6) spelled as floor(x * 1e6 + 0.5) / 1e6, which treats halves alike in every engine."""
     at = sql.find("round(")
