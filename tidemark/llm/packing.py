@@ -41,9 +41,10 @@ UNIT, GROUP = 512, 512
 
 
 #: Words whose ids a worker remembers; the older half goes when as many new ones have come.
-REMEMBERED = 400_000
-#: Characters beyond these blocks may be newer than one of the libraries' character tables.
-_rare = re.compile("[^\x00-\u024f\u0370-\u03ff\u0400-\u04ff\u2000-\u206f\u20ac]").search
+REMEMBERED = 800_000
+#: Long established blocks of characters; others may be newer than one of the libraries' character tables.
+BLOCKS = "\x00-\u024f\u0370-\u03ff\u0400-\u04ff\u2000-\u206f\u20ac"
+_rare = re.compile(f"[^{BLOCKS}]").search
 # The settings of a tokenizer file under which its library encodes each match of the pattern by itself.
 _PLAIN = {"normalizer": None, "truncation": None, "padding": None}
 _SPLIT = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
@@ -60,6 +61,18 @@ def byte_letters() -> list[str]:
     return [chr(b if b in printable else next(others)) for b in range(256)]
 
 
+def within_blocks(pattern: str) -> re.Pattern:
+    """``pattern`` for texts within BLOCKS, its Unicode classes spelled out: the standard library then matches it faster."""
+    known = [chr(c) for c in range(0x2100) if not _rare(chr(c))]
+    for name in (r"\s", r"\p{L}", r"\p{N}"):
+        members = "".join(f"\\u{ord(c):04x}" for c in known if regex.match(name, c))
+        if name == r"\s":
+            pattern = pattern.replace(r"\S", f"[^{members}]").replace(r"\s+", f"[{members}]+")
+        # inside brackets, and by itself
+        pattern = re.sub(rf"(?<=\^)((?:[^\]]*?)){re.escape(name)}", lambda m, x=members: m[1] + x, pattern).replace(name, f"[{members}]")
+    return re.compile(pattern)
+
+
 class Ids(dict):
     """The ids that the tokenizers library gives for a byte-level BPE vocabulary file, special tokens recognised.
 
@@ -77,7 +90,7 @@ class Ids(dict):
         self.by_word = agrees(settings, _PLAIN) and agrees(settings["pre_tokenizer"], _SPLIT) and agrees(settings["model"], _MODEL)
         added = [t["content"] for t in settings["added_tokens"]]
         self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
-        self.words, self.model = regex.compile(public_tokenizers.PATTERN).findall, self.tokenizer.model
+        self.words, self.model = within_blocks(public_tokenizers.PATTERN).findall, self.tokenizer.model
         self.letters = dict(enumerate(byte_letters()))
         self.older: dict[str, bytes] = {}
 
