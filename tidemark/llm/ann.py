@@ -34,8 +34,8 @@ from tidemark.llm.common import materialize
 TRAIN_ROWS, WIDTH, PARALLEL, ROUNDS = 4096, 2, 4.0, 6
 #: Rows and queries of a block at most, and entries of a block that are scored exactly for each query at least.
 ROWS, QUERIES, RERANK = 32_768, 8192, 200
-#: Lists of a query that are merged at once.
-MERGED = 64
+#: Lists of a query that are merged at once; queries that a scan of a block serves at once, and entries of a slice of it.
+MERGED, GROUP, SLICE = 64, 32, 2048
 
 
 def usable(vector: Column) -> Column:
@@ -149,6 +149,41 @@ def _exact(entries: np.ndarray, x: np.ndarray, starts: np.ndarray, counts: np.nd
     return mine[kept], scores[kept]
 
 
+def _scan(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """(queries, entries): the sums of what the bytes of each entry stand for; a slice of entries at a time stays in a core's cache."""
+    by_byte = np.ascontiguousarray(tables.transpose(0, 2, 1))
+    near = np.empty((tables.shape[1], codes.shape[1]), dtype=np.float32)
+    for at in range(0, codes.shape[1], SLICE):
+        part = codes[:, at : at + SLICE]
+        total = np.zeros((part.shape[1], tables.shape[1]), dtype=np.float32)
+        for table, code in zip(by_byte, part, strict=True):
+            total += table.take(code, axis=0)
+        near[:, at : at + SLICE] = total.T
+    return near
+
+
+def _best(
+    queries: np.ndarray, query_ids: np.ndarray, near: np.ndarray, own: np.ndarray, reach: np.ndarray, norms: np.ndarray, x: np.ndarray,
+    starts: np.ndarray, counts: np.ndarray, ids: np.ndarray, k: int, rerank: int,
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each query's k best ids among the entries of a block and their scores; ``own`` marks entries that stand for the query's own id only."""
+    lengths = np.linalg.norm(queries, axis=1)
+    if len(counts) <= rerank:
+        every = np.arange(len(counts))
+        return [_exact(every, x, starts, counts, ids, q, i, k) for q, i in zip(queries, query_ids, strict=True)]
+    least = np.full(len(queries), -np.inf)
+    for j, (q, i) in enumerate(zip(queries, query_ids, strict=True)):
+        _, scores = _exact(np.argpartition(np.where(own[j], np.inf, -near[j]), rerank)[:rerank], x, starts, counts, ids, q, i, k)
+        if len(scores) == k:
+            least[j] = scores[-1]
+    # all that may reach the k-th score by the bound of their codes, then but for rounding; one product scores those of all queries
+    may = ~(near + (lengths[:, None] * reach).astype(np.float32) < np.nextafter(least.astype(np.float32), np.float32(-np.inf))[:, None]) & ~own
+    some = np.flatnonzero(may.any(axis=0))
+    scores = queries @ x[some].T
+    may = may[:, some] & ~(scores < least[:, None] - 1e-9 * lengths[:, None] * norms[some])
+    return [_exact(some[m], x, starts, counts, ids, q, i, k) for m, q, i in zip(may, queries, query_ids, strict=True)]
+
+
 def search(vectors: DataFrame, *, queries: Column, k: int = 20, id_column: str = "vec_id", vector: str = "embedding", rerank: int = RERANK, rows: int = ROWS, block: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found for every row that ``queries`` marks."""
     spark = vectors.sparkSession
@@ -208,25 +243,14 @@ def search(vectors: DataFrame, *, queries: Column, k: int = 20, id_column: str =
                 codes = codes.reshape(-1, len(counts))
                 starts = np.cumsum(counts) - counts
                 low, high = ids[starts], ids[starts + counts - 1]
-                for at in range(0, len(query_ids), 32):
-                    some, some_ids = q[at : at + 32], query_ids[at : at + 32]
-                    tables = sent.value.tables(some)
-                    near = np.zeros((len(some), len(counts)), dtype=np.float32)
-                    for table, code in zip(tables, codes, strict=True):
-                        near += table[:, code]
+                norms = np.linalg.norm(x, axis=1)
+                for at in range(0, len(query_ids), GROUP):
+                    some, some_ids = q[at : at + GROUP], query_ids[at : at + GROUP]
+                    near = _scan(sent.value.tables(some), codes)
+                    own = (low == some_ids[:, None]) & (high == some_ids[:, None])
                     out: tuple[list, ...] = [], [], [], [], []
-                    for j, query_id in enumerate(some_ids):
-                        other = (low != query_id) | (high != query_id)
-                        near[j, ~other] = -np.inf
-                        best = np.argpartition(-near[j], rerank)[:rerank] if len(counts) > rerank else np.arange(len(counts))
-                        found, scores = _exact(best, x, starts, counts, ids, some[j], query_id, k)
-                        if len(counts) > rerank:
-                            # all that may reach the k-th score, by the bound of its codes and then but for rounding
-                            least = scores[-1] if len(scores) == k else -np.inf
-                            length = np.linalg.norm(some[j])
-                            rest = np.flatnonzero(~(near[j] + length * reach < least) & other)
-                            rest = rest[~(x[rest] @ some[j] < least - 1e-9 * length * np.linalg.norm(x[rest], axis=1))]
-                            found, scores = _exact(rest, x, starts, counts, ids, some[j], query_id, k)
+                    best = _best(some, some_ids, near, own, reach, norms, x, starts, counts, ids, k, rerank)
+                    for j, (query_id, (found, scores)) in enumerate(zip(some_ids, best, strict=True)):
                         for column, values in zip(out, (np.full(len(found), block_number + at + j), np.full(len(found), query_id), np.full(len(found), row_block), found, scores), strict=True):
                             column.append(values)
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], schema=result)
