@@ -256,3 +256,26 @@ def test_differencing_is_a_partition_and_balanced(seed):
     parts = packing.windows_of(lengths)
     sums = [sum(lengths[i] for i in p) for p in parts]
     assert max(sums) <= packing.CAPACITY and len(parts) <= -(-sum(lengths) // packing.CAPACITY) + 1
+
+
+def test_workers_let_go_of_what_they_keep(monkeypatch):
+    import time
+
+    from tidemark.llm import common
+
+    monkeypatch.setattr(common, "KEPT_S", 0.2)
+    made = []
+
+    def make():
+        made.append(1)
+        return object()
+
+    with common.kept("a", make) as first:
+        pass
+    with common.kept("a", make) as again:
+        time.sleep(0.4)  # the timer of the task before must not end a task that runs
+        assert again is first and common._kept == {"a": first}
+    with common.kept("b", make):
+        assert list(common._kept) == ["b"]
+    time.sleep(0.6)
+    assert not common._kept and len(made) == 2

@@ -7,7 +7,10 @@ from __future__ import annotations
 
 import ctypes
 import pickle
+import threading
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 from tidemark.sources.stage import discard, materialize, new_folder, release
 
 __all__ = [
-    "BROADCAST_ROWS", "CACHE_WORDS", "WordHash", "discard", "give_back", "labelled_sample", "learn", "map_rows", "materialize", "new_folder", "quoted", "read", "release",
+    "BROADCAST_ROWS", "CACHE_WORDS", "WordHash", "discard", "give_back", "kept", "labelled_sample", "learn", "map_rows", "materialize", "new_folder", "quoted", "read", "release",
     "remainder", "slices", "small",
 ]
 
@@ -27,6 +30,8 @@ __all__ = [
 CACHE_WORDS = 100_000
 #: Rows, and bytes of text, that become Python objects at once; a longer text comes alone.
 STEP, STEP_BYTES = 1000, 1 << 20
+#: Seconds without a task after which a worker lets go of what it keeps between tasks.
+KEPT_S = 3.0
 #: Rows of a broadcast side at most, where each row is a number or two.
 BROADCAST_ROWS = 200_000
 
@@ -49,6 +54,36 @@ def give_back() -> None:
         trim(0)
 
 
+_kept: dict[Any, Any] = {}
+_last: list[threading.Timer] = []
+
+
+def _let_go() -> None:
+    _kept.clear()
+    give_back()
+
+
+@contextmanager
+def kept(key: Any, make: Callable[[], Any]) -> Iterator[Any]:
+    """What ``make()`` gives, for one task; the worker's next task finds it again, if that begins within ``KEPT_S``.
+
+    A worker keeps one such thing, and none ``KEPT_S`` after the last task that used it: workers outlive
+    an operator, and share their executor's memory with those that follow.
+    """
+    while _last:
+        _last.pop().cancel()
+    value = _kept.get(key)
+    if value is None:
+        _kept.clear()
+        value = _kept[key] = make()
+    try:
+        yield value
+    finally:
+        _last.append(threading.Timer(KEPT_S, _let_go))
+        _last[-1].daemon = True
+        _last[-1].start()
+
+
 def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[..., list[tuple]]], *columns: str) -> DataFrame:
     """Apply ``start()`` once per task, then its result to the Python lists of ``columns`` of each slice.
 

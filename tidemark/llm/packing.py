@@ -20,7 +20,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm.common import give_back, slices
+from tidemark.llm.common import give_back, kept, slices
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END = 1
@@ -41,7 +40,7 @@ UNIT, GROUP = 512, 512
 
 
 #: Words whose ids a worker remembers; the older half goes when as many new ones have come.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 #: Long established blocks of characters; others may be newer than one of the libraries' character tables.
 BLOCKS = "\x00-\u024f\u0370-\u03ff\u0400-\u04ff\u2000-\u206f\u20ac"
 _rare = re.compile(f"[^{BLOCKS}]").search
@@ -114,12 +113,6 @@ class Ids(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
-@lru_cache(maxsize=1)
-def ids_by(path: str) -> Ids:
-    """A worker keeps the tokenizer of the last file, and its words, for the tasks that follow."""
-    return Ids(path)
-
-
 def cuts(n: int, capacity: int = CAPACITY, unit: int = UNIT) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens: full windows, then units."""
     full = n - n % capacity
@@ -174,17 +167,18 @@ def pieces(docs: DataFrame, *, capacity: int = CAPACITY, unit: int = UNIT, path:
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())] + [("ids", pa.binary())] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = ids_by(path)
-        for batch in batches:
-            for part in slices(batch):
-                rows = []
-                for doc_id, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    raw = ids_of(text).tobytes() + np.array([END], dtype="<u4").tobytes()
-                    n = len(raw) // 4
-                    for start, length in cuts(n, capacity, unit):
-                        ids = raw[4 * start : 4 * (start + length)]
-                        rows.append((doc_id, start, length, zlib.crc32(ids), n) + (ids,) * with_ids)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], schema=pa.schema(fields))
+        # the tokenizer and its words serve the tasks that follow
+        with kept(path, lambda: Ids(path)) as ids_of:
+            for batch in batches:
+                for part in slices(batch):
+                    rows = []
+                    for doc_id, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                        raw = ids_of(text).tobytes() + np.array([END], dtype="<u4").tobytes()
+                        n = len(raw) // 4
+                        for start, length in cuts(n, capacity, unit):
+                            ids = raw[4 * start : 4 * (start + length)]
+                            rows.append((doc_id, start, length, zlib.crc32(ids), n) + (ids,) * with_ids)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], schema=pa.schema(fields))
         give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
